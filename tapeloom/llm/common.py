@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -36,14 +38,31 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only where it is unset (one machine, as in
+    tests) a local one is made and set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """`df` written once to the folder of spark.checkpoint.dir, which every executor reaches, and read from there; a lost
-    executor costs no recomputation. Only where the setting is missing (tests on one machine) a folder is made."""
+    """`df` written once as Parquet to the shared folder and read from there: lineage ends, a lost executor costs only its
+    running tasks, and shuffle files of the finished part can go."""
     spark = df.sparkSession
     ship(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    freed(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def freed(spark: SparkSession) -> None:
+    """Lets Spark notice which shuffle files nothing refers to any more; it deletes them in the background."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
