@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, substrings, suffixes, tokens
+from . import mixing, neardup, substrings, suffixes, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_token_counts": tokens.op3_token_counts,
+    "op8_near_dedup": neardup.op8_near_dedup,
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 
