@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import buffers, documents, parts, ship
 
@@ -600,7 +601,7 @@ def tensors(rows: DataFrame, media_col: str = "media") -> DataFrame:
                 rgb = [None if m is None else next(found) for m in given]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if x is None else x.shape[0] for x in rgb], pa.int32()), pa.array([None if x is None else x.shape[1] for x in rgb], pa.int32()), pa.array([None if x is None else x.tobytes() for x in rgb], pa.binary())], names)
 
-    return rows.mapInArrow(run, rows.schema.add("height", "int").add("width", "int").add("rgb", "binary"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("rgb", T.BinaryType())]))
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

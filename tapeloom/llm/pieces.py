@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BASE, U64, documents, mixed, parts, powers, repository_of_tokenizers, ship
 
@@ -288,7 +289,7 @@ def encoded(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> Data
                 yield pa.RecordBatch.from_arrays([*part.columns, column], [*kept, "ids"])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    return rows.mapInArrow(run, rows.schema.add("ids", "array<int>"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decoded(rows: DataFrame, model: str = MODEL, ids_col: str = "ids") -> DataFrame:
@@ -306,7 +307,7 @@ def decoded(rows: DataFrame, model: str = MODEL, ids_col: str = "ids") -> DataFr
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*kept, "decoded"])
 
     picked = rows.select(*[F.col(f"`{c}`") for c in kept])
-    return picked.mapInArrow(run, picked.schema.add("decoded", "string"))
+    return picked.mapInArrow(run, T.StructType([*picked.schema, T.StructField("decoded", T.StringType())]))
 
 
 def coded(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

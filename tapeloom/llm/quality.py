@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,6 +167,21 @@ def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
     return _narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that score 0.5 and more, as they are."""
+    ship(docs.sparkSession)
+    index = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for part in parts(batch, text_col, 1 << 20):
+                text = part.column(index)
+                n_chars = pc.fill_null(pc.utf8_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield part.filter(pa.array(machine.scores(*features(text, n_chars), part.num_rows) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return scored(docs, trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
