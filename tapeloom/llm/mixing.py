@@ -54,18 +54,20 @@ def source_plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs:
     plan = levels.select("_key", "source_size", goal.alias("target")).withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs).cast("long"))).otherwise(F.lit(0).cast("long")))
     plan = saved(plan.withColumn("_rest", F.col("target") - F.col("whole") * F.col("source_size")))
 
-    def boundary(rows: DataFrame, bucket: Column, before: Column) -> DataFrame:
-        """Of each source, the bucket in which the cumulated sizes pass the rest, and what stands before it."""
-        cum = Window.partitionBy("_key").orderBy("_b")
-        grouped = rows.groupBy("_key", bucket.alias("_b")).agg(F.sum("_size").alias("_sum"), F.first("_rest").alias("_rest"), F.first(before).alias("_before"))
-        up = grouped.withColumn("_upto", F.col("_before") + F.sum("_sum").over(cum))
-        return up.filter((F.col("_upto") > F.col("_rest")) & (F.col("_upto") - F.col("_sum") <= F.col("_rest"))).groupBy("_key").agg(F.min("_b").alias("_b"), F.min_by(F.col("_upto") - F.col("_sum"), "_b").alias("_before"))
-
-    open_rows = sized.select("_key", "_size", "_luck").join(plan.filter("_rest > 0").select("_key", "_rest"), "_key")
-    top = boundary(open_rows, F.floor(F.col("_luck") / _TOP), F.lit(0)).select("_key", F.col("_b").alias("_b1"), F.col("_before").alias("_before1"))
-    within = open_rows.join(top, "_key").filter(F.floor(F.col("_luck") / _TOP) == F.col("_b1"))
-    mid = boundary(within, F.floor(F.col("_luck") / _MID), F.col("_before1")).select("_key", F.col("_b").alias("_b2"), F.col("_before").alias("_before2"))
-    last = within.join(mid, "_key").filter(F.floor(F.col("_luck") / _MID) == F.col("_b2"))
+    def boundary(rows: DataFrame, open_sources: DataFrame) -> DataFrame:
+        """Of each source, the bucket in which the cumulated sizes pass the rest, and what stands before it. Sizes are summed
+        by bucket before anything meets by source."""
+        grouped = rows.groupBy("_key", "_b").agg(F.sum("_size").alias("_sum")).join(open_sources, "_key")
+        up = grouped.withColumn("_upto", F.col("_before") + F.sum("_sum").over(Window.partitionBy("_key").orderBy("_b")))
+        at = up.filter((F.col("_upto") > F.col("_rest")) & (F.col("_upto") - F.col("_sum") <= F.col("_rest")))
+        return at.groupBy("_key", "_rest").agg(F.min("_b").alias("_b"), F.min_by(F.col("_upto") - F.col("_sum"), "_b").alias("_before"))
+
+    top = F.floor(F.col("_luck") / _TOP).cast("long")
+    mid = F.floor(F.col("_luck") / _MID).cast("long")
+    first = boundary(sized.select("_key", "_size", top.alias("_b")), plan.filter("_rest > 0").select("_key", "_rest", F.lit(0).cast("long").alias("_before")))
+    within = sized.select("_key", "_size", "_luck", top.alias("_b")).join(first.select("_key", "_b"), ["_key", "_b"])
+    second = boundary(within.select("_key", "_size", mid.alias("_b")), first.select("_key", "_rest", "_before"))
+    last = within.select("_key", "_size", "_luck", mid.alias("_b")).join(second, ["_key", "_b"]).withColumnsRenamed({"_b": "_b2", "_before": "_before2"})
     single = last.groupBy("_key", "_luck").agg(F.sum("_size").alias("_size"), F.first("_rest").alias("_rest"), F.first("_before2").alias("_before2"), F.first("_b2").alias("_b2"))
     upto = F.col("_before2") + F.sum("_size").over(Window.partitionBy("_key").orderBy("_luck"))
     cut = single.withColumn("_upto", upto).groupBy("_key").agg(F.coalesce(F.max(F.when(F.col("_upto") - F.col("_size") / 2 <= F.col("_rest"), F.col("_luck"))), F.max("_b2") * _MID - 1).alias("cut"))
