@@ -1,0 +1,231 @@
+from __future__ import annotations
+
+import hashlib
+import os
+import random
+import re
+import sys
+from pathlib import Path
+
+import numpy as np
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parent))
+from helpers import corpus, table
+
+from tapeloom.llm import media, mixing, outliers, personal, pieces, quality, tokens
+from tapeloom.llm.common import repository_of_tokenizers
+
+ODD = ["", " ", "a", "日本語テキスト", "x\ty\r\n", "<|endoftext|> a", "▁ b", "🙂 é", "<s>0x41", "  two  blanks"]
+
+
+def test_spliced_chunks_equal_the_library():
+    from tokenizers import Tokenizer
+
+    library, enc, rng = Tokenizer.from_file(repository_of_tokenizers("byte_bpe_50k.json")), tokens.encoder(), random.Random(3)
+    texts = ["".join(rng.choice(["a b", "  \n", " x", "é", "日本", "<|endoftext|>", "'s ", "12 3", " "]) for _ in range(1500)) for _ in range(6)] + ["日" * 3000, " " * 3000, "word " * 2000]
+    for text in texts:
+        want = library.encode(text, add_special_tokens=False).ids
+        for chunk, overlap in ((700, 40), (200, 20)):
+            assert tokens.spliced(text.encode(), enc, chunk, overlap).tolist() == want
+
+
+def test_token_counts(spark):
+    from tokenizers import Tokenizer
+
+    library, texts = Tokenizer.from_file(repository_of_tokenizers("byte_bpe_50k.json")), [None, *ODD, "long word " * 9000]
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.token_counts(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        assert got[i] == (len((t or "").encode()), n, n > 512)
+
+
+def test_pieces_equal_the_library_and_decode(spark):
+    import sentencepiece
+
+    path = repository_of_tokenizers(pieces.MODEL)
+    library, coder = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Coder(pieces.Model.read(path))
+    texts = [*ODD, *[t or "" for t in corpus()], "a" * 3000, "日" * 500]
+    ids, bounds = coder.encode(texts)
+    for k, t in enumerate(texts):
+        mine = ids[bounds[k] : bounds[k + 1]]
+        assert mine.tolist() == library.encode(t)
+        assert coder.model.decoded(mine) == library.decode(library.encode(t))
+    df = table(spark, [None, *ODD])
+    assert [r.decoded for r in pieces.decoded(pieces.encoded(df)).orderBy("doc_id").collect()] == [None, *[t.replace("▁", " ") for t in ODD]]
+    assert pieces.coded(df).filter("not round_trip").count() == 0
+
+
+def test_viterbi_against_all_segmentations():
+    rng = random.Random(4)
+    vocabulary = sorted({"".join(rng.choice("ab▁") for _ in range(rng.randint(1, 4))) for _ in range(25)} | {"a", "b"})
+    scores = {p: -rng.random() * 5 for p in vocabulary}
+    model = pieces.Model([("<unk>", 0.0, 2), *[(p, s, 1) for p, s in scores.items()]], pieces.UNIGRAM)
+
+    def best(word):
+        top = [0.0] + [-np.inf] * len(word)
+        for e in range(1, len(word) + 1):
+            top[e] = max(top[s] + scores.get(word[s:e], model.least - 10 if e - s == 1 else -np.inf) for s in range(e))
+        return top[-1]
+
+    words = ["".join(rng.choice("ab▁c") for _ in range(8)) for _ in range(50)]
+    chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), 8)
+    for word, (starts, ids) in zip(words, model.best_paths(chars)):
+        found = sum(scores[model.pieces[i]] if i >= 0 else model.least - 10 for i in ids)
+        assert abs(found - best(word)) < 1e-9
+        assert "".join(word[a:b] for a, b in zip(starts, [*starts[1:], 8])) == word
+
+
+def test_progressive_jpeg_round_trip():
+    rng = random.Random(5)
+    payloads = [media.padded(t.encode()) for t in ODD] + [os.urandom(192 * 20), bytes([128] * 192 * 5), bytes(rng.choice([127, 128, 129]) for _ in range(192 * 9)), bytes(rng.choice([128] * 30 + [129, 9]) for _ in range(192 * 9))]
+    stored = media.written(payloads)
+    back, images, coef = media.read_back(stored)
+    assert back == payloads
+    for payload, one in zip(payloads, stored):  # alone as in the batch
+        assert media.written([payload]) == [one]
+        assert media.read_back([one])[0] == [payload]
+    for image in images:
+        rgb = media.tensor(image, coef)
+        assert rgb.shape == (image.height, image.width, 3) and rgb.dtype == np.uint8
+
+
+def test_progressive_jpeg_is_what_other_readers_read(spark):
+    """The JVM's own image reader agrees with the tensor to a few levels."""
+    rng = np.random.default_rng(6)
+    blocks = np.zeros((6 * 4, 64), np.int64)
+    blocks[:, 0] = rng.integers(-60, 60, len(blocks))
+    blocks[:, 1:4] = rng.integers(-9, 9, (len(blocks), 3))
+    one = media.written([(blocks + 128).astype(np.uint8).tobytes()])[0]
+    jvm = spark.sparkContext._jvm
+    picture = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(one)))
+    images, coef = media.coefficients([one])
+    rgb = media.tensor(images[0], coef)
+    assert (picture.getHeight(), picture.getWidth()) == rgb.shape[:2]
+    for y, x in ((0, 0), (3, 9), (17, 20), (31, 31), (8, 30)):
+        level = picture.getRGB(x, y)
+        assert abs((level >> 8 & 255) - int(rgb[y, x, 1])) <= 12
+
+
+def test_media_columns(spark):
+    texts = [None, "", "same", "same", "日本" * 100]
+    rows = media.media_features(table(spark, texts)).orderBy("doc_id").collect()
+    for t, r in zip(texts, rows):
+        payload = media.padded((t or "").encode())
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len((t or "").encode()), len(payload), hashlib.sha256(payload).hexdigest())
+    assert rows[2][1:] == rows[3][1:] and rows[0][1:] == rows[1][1:]
+    assert media.tensors(media.stored(table(spark, texts))).filter("length(rgb) <> height * width * 3").count() == 0
+
+
+def test_personal_data_base_against_plain_patterns():
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip, card, phone = (re.compile(x) for x in (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
+    count = lambda m: len(re.sub("[^0-9]", "", m[0]))
+
+    def plain(t):
+        out = [(m.start(), 0, m.end()) for m in email.finditer(t)] + [(m.start(), 1, m.end()) for m in ip.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), 2, m.end()) for m in card.finditer(t) if 12 <= count(m) <= 19 and personal.luhn(re.sub("[^0-9]", "", m[0]))]
+        return sorted(out + [(m.start(), 3, m.end()) for m in phone.finditer(t) if 9 <= count(m) <= 15])
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("a1@.+- ()9%é\n5") for _ in range(150)) for _ in range(800)] + ["x 4111 1111 1111 1111 y +1 (017) 555-7713 z a@b.co 1.2.3.4"]
+    assert [personal.base_spans(t) for t in texts] == [plain(t) for t in texts]
+
+
+def test_crf_adds_spans_and_leaves_plain_text(spark):
+    field = personal.Field().fit(personal.labelled_table())
+    held = personal.labelled_table(200, seed=99)
+    right = [t == y for words, labels in held for t, y in zip(field.viterbi(np.array([personal.word_features(words)]))[0], labels)]
+    assert np.mean(right) > 0.95
+    texts = [None, "", "call (212) 555-0147 now", "in 1984 there were 1,200 of 3.5 at 10:30", "a@b.co and 1.2.3.4", "4111.1111.1111.1111"]
+    got = {r.doc_id: r for r in personal.personal_data(table(spark, texts), field).collect()}
+    assert got[0].spans == got[1].spans == got[3].spans == ""
+    assert got[2].spans == "phone:5:19" and got[2].n_phone == 0
+    assert got[4].spans == "email:0:6,ip:11:18"
+    masked = [r.text for r in personal.masked(table(spark, texts), field).orderBy("doc_id").collect()]
+    assert masked[0] is None and masked[4] == "[email] and [ip]"
+
+
+def test_viterbi_against_all_labelings():
+    from itertools import product
+
+    field, rng = personal.Field(), np.random.default_rng(8)
+    for p in (field.emit, field.pair, field.begin, field.end):
+        p[...] = rng.normal(size=p.shape)
+    batch = rng.integers(0, personal.FEATURES, (6, 4, 3))
+    score = field.scores(batch)
+    for k, found in enumerate(field.viterbi(batch)):
+        total = lambda y: field.begin[y[0]] + field.end[y[-1]] + sum(score[k, t, y[t]] for t in range(4)) + sum(field.pair[y[t], y[t + 1]] for t in range(3))
+        assert tuple(found) == max(product(range(5), repeat=4), key=total)
+
+
+def test_factorisation_machine_identity_and_learning(spark):
+    rng = np.random.default_rng(9)
+    machine = quality.Machine()
+    machine.w[:], machine.v[:] = rng.normal(size=machine.w.shape), rng.normal(size=machine.v.shape)
+    feature, value = np.sort(rng.choice(quality.SIZE, 9, replace=False)), rng.normal(size=9)
+    pairs = sum(machine.v[feature[i]] @ machine.v[feature[j]] * value[i] * value[j] for i in range(9) for j in range(i))
+    assert np.isclose(machine.raw(np.zeros(9, int), feature, value, 1)[0][0], machine.bias + machine.w[feature] @ value + pairs)
+    texts = [("good plain words here and more of them %d" % i) if i % 2 else ("### $$$ BAD!! %d ***" % i) for i in range(120)] + [None, ""]
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.scored(docs, quality.trained(docs, labels)).collect()
+    assert len(rows) == len(texts) and all(0 <= r.score <= 1 for r in rows)
+    held = [r for r in rows if r.held_out and r.doc_id < 120]
+    assert held and np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.9
+    assert all(r.score == 0.5 for r in quality.scored(docs, quality.trained(docs, labels.filter("false"))).collect())
+
+
+def test_mix_meets_targets_and_agrees_with_sql(spark, tmp_path):
+    sys.path.insert(0, str(Path(__file__).parents[1]))
+    from oracle_check import agree
+
+    rng = random.Random(10)
+    texts = [None if i % 50 == 0 else " ".join(["w"] * rng.randint(0, 40)) for i in range(600)]
+    sources = [None if i % 30 == 0 else rng.choice(["a", "b", "b", "b", "b", "c", "ä"]) for i in range(600)]
+    df = table(spark, texts, sources).select("doc_id", "text", "lang", "source", "n_chars")
+    df.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    agree(spark, mixing.op1_mixing, mixing.OP1_SQL, str(tmp_path))
+    rows = mixing.op1_mixing(spark, str(tmp_path)).collect()
+    by: dict = {}
+    for r in rows:
+        assert r.taken <= 3 * r["size"]
+        by.setdefault(r.source_size, [r.target, 0])[1] += r.taken
+    assert all(abs(target - taken) <= 25 for target, taken in by.values())
+    assert abs(sum(t for t, _ in by.values()) - sum(r["size"] for r in rows)) < 1e-6
+    assert mixing.mixed(df.filter("false")).count() == 0
+
+
+def test_quality_statistics_against_plain_counts(spark):
+    from collections import Counter
+
+    texts = [*corpus(), "a b c a b c # $ %\n\nx y z\nx y z\n" * 30]
+    rows = {r.doc_id: r for r in outliers.judged(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        count, cover, seen, doubled = Counter(zip(w, w[1:], w[2:])), [0] * len(w), set(), 0
+        for k in range(len(w) - 2):
+            if count[tuple(w[k : k + 3])] > 1:
+                cover[k : k + 3] = [1] * 3
+        for line in (t or "").split("\n"):
+            if line.strip(" \t\x0b\x0c\r"):
+                doubled += line in seen
+                seen.add(line)
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), doubled, sum(cover))
+        r = rows[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r.base_failed and r.kept)
+
+
+def test_mcd_rejects_planted_outliers_and_keeps_the_rest(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeiourst") for _ in range(rng.randint(2, 7)))
+    texts = [" ".join(word() for _ in range(rng.randint(60, 300))) for _ in range(150)] + [" ".join(word() + "###$$$" for _ in range(100)) for _ in range(8)]
+    rows = {r.doc_id: r.kept for r in outliers.judged(table(spark, texts, ["s"] * len(texts))).collect()}
+    assert all(rows[i] for i in range(150)) and not any(rows[i] for i in range(150, 158))
+
+
+@pytest.mark.parametrize("make", [tokens.token_counts, pieces.coded, media.media_features, personal.personal_data, outliers.judged, mixing.planned])
+def test_empty_tables(spark, make):
+    assert make(table(spark, ["x"]).filter("false")).count() == 0
