@@ -68,9 +68,9 @@ def features(texts, n_chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 class Machine:
-    def __init__(self, bias: float = 0.0, seed: int = 6):
+    def __init__(self, bias: float = 0.0, seed: int = 6, spread: float = 0.01):
         self.bias, self.w = bias, np.zeros(SIZE)
-        self.v = np.random.default_rng(seed).normal(0, 0.01, (SIZE, FACTORS))
+        self.v = np.random.default_rng(seed).normal(0, spread, (SIZE, FACTORS))
 
     def raw(self, row: np.ndarray, feature: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
         """The sum before the sigmoid, and sum_i v_i x_i, of each row."""
@@ -136,13 +136,14 @@ def trained(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_c
     found = _narrow(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", "label")  # broadcast: `most` rows at most
     rows = found.mapInArrow(_sparse, "feature array<int>, value array<float>, label double").toArrow()
     if not rows.num_rows:
-        return Machine()
+        return Machine(spread=0.0)
     rows = rows.combine_chunks()
     label = rows.column("label").to_numpy()
     mean = float(np.clip(label.mean(), 0.01, 0.99))
-    machine = Machine(float(np.log(mean / (1 - mean))))
+    bias = float(np.log(mean / (1 - mean)))
     if label.min() == label.max():
-        return machine
+        return Machine(bias, spread=0.0)
+    machine = Machine(bias)
     lists = rows.column("feature").combine_chunks()
     row = np.repeat(np.arange(len(label)), lists.value_lengths().to_numpy(zero_copy_only=False))
     # The order of rows depends on the cluster; training doesn't.
