@@ -189,3 +189,29 @@ def drift(bars: DataFrame, delta: float = 0.002, most: int = 4096) -> DataFrame:
         return pd.DataFrame({"symbol": symbol, "at": np.array(found, np.int64)})
 
     return _per_symbol(bars, run, "symbol string, at long")
+
+
+def persistence(bars: DataFrame, window: int = 50, lag: int = 1, dim: int = 3, step: int = 10) -> DataFrame:
+    """Norms of the zero-dimensional persistence of delay-embedded returns over sliding windows: the lifetimes of components
+    are the edges of the least spanning tree of the embedded points. A break shows as a jump of the norm."""
+
+    def lifetimes(points: np.ndarray) -> np.ndarray:
+        far = np.linalg.norm(points - points[0], axis=1)
+        inside, out = np.zeros(len(points), bool), []
+        inside[0] = True
+        for _ in range(len(points) - 1):
+            k = int(np.argmin(np.where(inside, np.inf, far)))
+            out.append(far[k])
+            inside[k] = True
+            far = np.minimum(far, np.linalg.norm(points - points[k], axis=1))
+        return np.array(out)
+
+    def run(symbol, close):
+        r, rows = np.diff(np.log(close)), []
+        for end in range(window, len(r) + 1, step):
+            w = r[end - window : end]
+            life = lifetimes(np.stack([w[i * lag : len(w) - (dim - 1 - i) * lag] for i in range(dim)], axis=1))
+            rows.append((symbol, end, float(life.sum()), float(np.sqrt((life**2).sum()))))
+        return pd.DataFrame(rows, columns=["symbol", "at", "l1", "l2"])
+
+    return _per_symbol(bars, run, "symbol string, at long, l1 double, l2 double")

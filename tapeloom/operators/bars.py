@@ -219,3 +219,22 @@ def positions(bars: DataFrame) -> DataFrame:
     w = Window.partitionBy(*KEYS).orderBy("bar_id")
     missing = F.col("first_trade_id") - F.lag("last_trade_id").over(w) - 1
     return bars.select(*BAR, missing.alias("missing"), F.when(missing.isNull(), "first").when(missing == 0, "exact").when(missing > 0, "gap").otherwise("overlap").alias("position"))
+
+
+def checkpoints(rows: DataFrame) -> DataFrame:
+    """The state of each key after its last trade, from trades with bar_id and closes: the forming bar's opening price and time
+    and its limits; none of them if the next trade opens a bar."""
+    order = F.struct("ts_us", "agg_trade_id")
+    bars = rows.groupBy(*BAR).agg(F.min_by("price_fp", order).alias("open_fp"), F.min("ts_us").alias("open_time"), F.max("closes").alias("_done"), F.max(order).alias("_last"))
+    last = bars.groupBy(*KEYS).agg(F.max_by(F.struct("bar_id", "open_fp", "open_time", "_done", "_last"), "bar_id").alias("_b")).select(*KEYS, "_b.*")
+    away = F.expr("open_fp * threshold div 100000")
+    forming = ~F.col("_done")
+    return last.select(
+        *KEYS, "bar_id", F.col("_last.ts_us").alias("last_ts"), F.col("_last.agg_trade_id").alias("last_id"), F.col("_done").alias("next_opens"),
+        *[F.coalesce(F.when(forming, c), F.lit(-1)).alias(n) for n, c in (("open_fp", F.col("open_fp")), ("upper_fp", F.col("open_fp") + away), ("lower_fp", F.col("open_fp") - away), ("open_time", F.col("open_time")))],
+    )
+
+
+def walk_of(state) -> Walk:
+    """A walk that goes on from a row of `checkpoints`."""
+    return Walk(state["threshold"], True, state["bar_id"], None if state["next_opens"] else state["open_fp"], state["open_time"])

@@ -887,3 +887,70 @@ def _(s, d):
 @query("udf_lazy_map", "SELECT symbol, count(*) AS n FROM bars GROUP BY symbol", "", PLAIN)
 def _(s, d):
     return trades(s, d).transform(B.range_bars).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+
+
+from .catalog import QUERIES, SQL  # noqa: E402
+
+for _alias, _of in (("rb_stream", "str_live"), ("str_state", "str_live"), ("str_backpressure", "str_live"), ("ind_stats", "str_stats")):
+    QUERIES[_alias], SQL[_alias] = QUERIES[_of], SQL[_of]
+
+
+@query("rb_checkpoint", """SELECT symbol, threshold, segment, bar_id, last_ts, last_id, done AS next_opens, CASE WHEN done THEN -1 ELSE open_fp END AS open_fp, CASE WHEN done THEN -1 ELSE open_fp + open_fp * threshold // 100000 END AS upper_fp, CASE WHEN done THEN -1 ELSE open_fp - open_fp * threshold // 100000 END AS lower_fp, CASE WHEN done THEN -1 ELSE open_time END AS open_time
+FROM (SELECT symbol, threshold, segment, bar_id, arg_min(price_fp, rn) AS open_fp, min(ts_us) AS open_time, bool_or(closes) AS done, max(ts_us) AS last_ts, arg_max(agg_trade_id, rn) AS last_id FROM a GROUP BY ALL) QUALIFY bar_id = max(bar_id) OVER (PARTITION BY symbol, threshold, segment)""", "", O.walked())
+def _(s, d):
+    from .catalog import ids
+
+    return B.checkpoints(ids(s, d))
+
+
+@query("str_replay", "SELECT symbol, count(*) AS n FROM (SELECT *, max(ts_us) OVER (PARTITION BY symbol) AS newest FROM trades) WHERE ts_us >= newest - 86400000000 GROUP BY symbol", "", TRADES)
+def _(s, d):
+    from ..streaming import live
+
+    return live.since(trades(s, d), 24 * 60).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("src_page_id", "SELECT 'btc' AS symbol, 2500 AS n, 0 AS first, 2499 AS last")
+def _(s, d):
+    from ..sources.paged import PagedTrades
+
+    B.ship(s)
+    s.dataSource.register(PagedTrades)
+    return s.read.format("trade_pages").option("symbol", "btc").option("toId", 2500).load().groupBy("symbol").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min("agg_trade_id").cast("int").alias("first"), F.max("agg_trade_id").cast("int").alias("last"))
+
+
+@query("src_parquet_recover", "SELECT 1 AS files, 1 AS whole")
+def _(s, d):
+    return T.whole_parquet(s, f"{d}/region.parquet").agg(F.count(F.lit(1)).cast("int").alias("files"), F.count_if("ok").cast("int").alias("whole"))
+
+
+@query("st_tda")
+def _(s, d):
+    return A.persistence(bars(s, d))
+
+
+@query("str_sidecar", "SELECT symbol, bar_id, open, close FROM bars", "open close", PLAIN)
+def _(s, d):
+    from ..sources import sinks
+    from ..streaming import live
+
+    folder = shared(s, "sidecar")
+    stream = live.streaming_bars(live._as_stream(s, trades(s, d), folder, 2))
+    live.into_store(s, stream, f"{folder}/store", f"{folder}/state").awaitTermination()
+    return sinks.BarStore(s, f"{folder}/store").read().select(*ID, "open", "close")
+
+
+@query("src_ws", "SELECT 'eth' AS symbol, 1500 AS n, 1499 AS last")
+def _(s, d):
+    from ..sources.paged import PagedTrades
+
+    B.ship(s)
+    s.dataSource.register(PagedTrades)
+    folder = shared(s, "live")
+    stream = s.readStream.format("trade_pages").option("symbol", "eth").option("toId", 1500).option("maxTradesPerTrigger", 500).load()
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return s.read.parquet(f"{folder}/out").groupBy("symbol").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("agg_trade_id").cast("int").alias("last"))

@@ -125,3 +125,10 @@ def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("symbol"), F.col("event_id").alias("agg_trade_id"), (F.lit(1_000_000_000_000) + walk).alias("price_fp"), (F.col("cents") * 1_000_000).alias("volume_fp"),
         (F.col("event_id") * 3).alias("first_trade_id"), (F.col("event_id") * 3 + F.col("event_id") % 3).alias("last_trade_id"), F.unix_micros("ts").alias("ts_us"), (F.col("event_id") % 2 == 0).alias("is_buyer_maker"),
     )
+
+
+def whole_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """path, length and `ok` of each Parquet file: whether it begins and ends as one must."""
+    mark = F.lit(b"PAR1")
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", "length", ((F.col("length") >= 12) & (F.substring("content", 1, 4) == mark) & (F.substring("content", -4, 4) == mark)).alias("ok"))

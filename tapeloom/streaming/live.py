@@ -94,3 +94,33 @@ def replayed_stats(spark: SparkSession, trades: DataFrame, folder: str, slices:
     out = _drained(stream.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("price_fp").alias("lowest"), F.max("price_fp").alias("highest")), folder, "complete")
     batches = spark.read.parquet(out)
     return batches.join(batches.agg(F.max("batch").alias("batch")), "batch").drop("batch")
+
+
+def since(trades: DataFrame, minutes: float) -> DataFrame:
+    """The trades of each symbol's last minutes, to replay."""
+    from pyspark.sql import Window
+
+    newest = F.max("ts_us").over(Window.partitionBy("symbol"))
+    return trades.withColumn("_newest", newest).filter(F.col("ts_us") >= F.col("_newest") - int(minutes * 60_000_000)).drop("_newest")
+
+
+def progress(query) -> dict:
+    """Rows and batches of a running or ended stream."""
+    done = [p for p in query.recentProgress]
+    return {"batches": len(done), "rows_in": sum(p["numInputRows"] for p in done), "state_rows": max([s["numRowsTotal"] for p in done for s in p["stateOperators"]], default=0)}
+
+
+def into_store(spark: SparkSession, bars: DataFrame, path: str, checkpoint: str):
+    """Starts writing a stream of bars to a bar store. A batch's number is its version, so a batch that is repeated after a
+    failure replaces itself when it is read; bars that may not be stored go to the dead letters beside it."""
+    from ..sources.sinks import BarStore, split_bad
+
+    store = BarStore(spark, path)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        known = batch.filter("not late").drop("late").withColumn("segment", F.lit(0).cast("long"))
+        priced = known.select("*", *[(F.col(f"{c}_fp") / F.lit(1e8)).alias(c) for c in ("open", "high", "low", "close", "volume")])
+        store.write(priced, version=number)
+        split_bad(priced)[1].withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}-dead")
+
+    return bars.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
