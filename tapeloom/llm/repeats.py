@@ -146,7 +146,8 @@ def repeated_blocks(texts: DataFrame, spec: Windows) -> DataFrame:
     minimizer has more than one content)."""
     ship(texts.sparkSession)
     rows = saved(texts.select("f1", "f2", "text", "copies").mapInArrow(_blocks_of(spec), "a long, c long, f1 long, f2 long, lo int, hi int, anchor int, w int"))
-    again = rows.groupBy("a").agg(F.sum("w").alias("_n"), (F.min("c") != F.max("c")).alias("several")).filter("_n >= 2").select("a", "several")
+    # Saved, so that both sides of the join are shuffled for it alone and adaptive execution can split hot minimizers.
+    again = saved(rows.groupBy("a").agg(F.sum("w").alias("_n"), (F.min("c") != F.max("c")).alias("several")).filter("_n >= 2").select("a", "several"))
     return saved(rows.join(again, "a"))
 
 

@@ -21,7 +21,8 @@ from .repeats import PART_BYTES, Windows, covered, distinct_texts, judged, remov
 BYTES = 200
 GRAM = 40
 SHALLOW = 32
-HOT = 256
+#: Contents of one minimizer that a task sorts in memory: about 6 MB of text and 1.6 million suffixes.
+HOT = 20_000
 
 
 def _eight(data: np.ndarray, at: np.ndarray) -> np.ndarray:
