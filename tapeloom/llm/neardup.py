@@ -5,10 +5,10 @@ CHUNKS * (ERRORS + 1) - 1 symbols have a chunk with at most ERRORS differences;
 its CHUNK deletion variants, so every such pair meets in a bucket. That guarantees 39 of 120 differences; at similarity 0.75
 (30 expected) a pair with more still meets with all but 3e-7 probability, as each chunk is a chance of its own.
 
-Buckets aren't expanded into pairs. Each bucket first links its members to its least one (as many rows as members); links
-are confirmed, components contracted, and the same is done for what components a bucket still shows. Only members of
-different components that remain in one bucket are compared pair by pair, and of those only pairs whose sizes and signatures
-allow the similarity. So a group of thousands of copies costs rows in proportion to it, and no link is lost.
+Buckets aren't expanded into pairs. First each document is compared with the heads of its buckets, one at a time (as many
+rows as documents), links are confirmed and components contracted. Only members of different components that remain in one bucket are compared pair by pair, and of those
+only pairs whose sizes and signatures allow the similarity. So a group of thousands of copies costs rows in proportion to it,
+and no link between what isn't connected already is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ PLANES = 4  # low bits of each symbol that the native comparison of signatures l
 #: Differences in PLANES bits of 120 symbols: 28 expected at similarity 0.75, standard deviation 4.6. A pair of that similarity
 #: has more than this with probability 1e-7.
 MOST_DIFFERENT = 53
+#: Heads that each document is compared with before pairs are.
+HEADS = 2
 _rng = np.random.default_rng(75)
 _FACTORS = (_rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint64) | U64(1)).astype(np.uint32)
 _SHIFTS = _rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint64).astype(np.uint32)
@@ -158,7 +160,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, comp (the least id reachable) for each id on an edge (a, b): every round hangs each node on its least neighbour,
+    """id, comp (the least id reachable) of each id on an edge (a, b): every round hangs each node on its least neighbour,
     follows twice what hangs on what, and contracts the edges. Ids are fingerprints, so their order is random and few nodes
     of any graph are least among their neighbours: rounds grow with the logarithm of the nodes."""
     label, edges = None, saved(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -193,9 +195,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     sets = some.groupBy("id").agg(F.first(F.struct("n_shingles", "signature")).alias("s")).select("id", F.col("s.n_shingles").alias("n"), "s.signature")
     keys = sets.select("id", "signature").mapInArrow(_index, "key long, id long")
     keys = saved(keys)
-    # Members of buckets of two and more; from here on only those count.
-    shared = keys.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select("key", "rep")
-    members = saved(keys.join(shared, "key").select("key", "id", "rep"))
+    # Members of buckets of two and more; from here on only those count. Of a bucket, the member that meets most others in all
+    # its buckets stands for it: the original that copies were made from is nearer to each than they are to each other.
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2")
+    met = saved(keys.join(shared, "key"))
+    weight = met.groupBy("id").agg(F.sum(F.col("_n") - 1).alias("weight"))
+    weighed = met.drop("_n").join(weight, "id")
+    heads = weighed.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("_h")).select("key", F.col("_h.id").alias("rep"), F.col("_h.weight").alias("rep_weight"))
+    members = saved(met.drop("_n").join(heads, "key"))
     nodes = members.select("id").distinct()
     sketch = saved(sets.join(nodes, "id").mapInArrow(_with_planes, "id long, n long, " + ", ".join(f"{p} long" for p in PLANE_NAMES)))
     one = some.groupBy("id").agg(F.min(F.struct("f", "doc_id")).alias("s")).join(nodes, "id").select("id", F.col("s.f").alias("_f"), F.col("s.doc_id").alias("_d"))
@@ -208,27 +215,41 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         fit = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).filter(_possible(percent)).select("a", "b")
         return saved(fit if tested is None else fit.join(tested, ["a", "b"], "left_anti"))
 
+    def pairs_of(x: str, y: str):
+        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
     tested, links, label = None, None, None
-    star = members.filter("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
-    for last in (False, False, True):
-        pairs = allowed(star, tested)
+
+    def linked(pairs: DataFrame) -> bool:
+        """Tests pairs and follows the links; false if there are none to test."""
+        nonlocal tested, links, label
+        pairs = allowed(pairs, tested)
+        if label is not None and pairs.isEmpty():
+            return False
         found = confirmed(pairs, texts, shingle, percent)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         label = components(links)
-        if last:
+        return True
+
+    def named() -> DataFrame:
+        """members with comp."""
+        return members.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+    # Each document with the weightiest head of its buckets that it isn't connected to yet: a row for each document.
+    linked(members.filter("id <> rep").groupBy("id").agg(F.max(F.struct("rep_weight", "rep")).alias("_h")).select(*pairs_of("id", "_h.rep")).distinct())
+    for _ in range(HEADS - 1):
+        comps = label.select(F.col("id").alias("rep"), F.col("comp").alias("_c"))
+        apart = named().filter("id <> rep").join(comps, "rep", "left").filter(F.col("comp") != F.coalesce("_c", "rep")).select(*pairs_of("id", "rep"), "id", "rep", "rep_weight")
+        fresh = apart.join(tested, ["a", "b"], "left_anti")
+        if not linked(fresh.groupBy("id").agg(F.max(F.struct("rep_weight", "rep")).alias("_h")).select(*pairs_of("id", "_h.rep")).distinct()):
             break
-        named = members.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        several = named.groupBy("key").agg(F.min("comp").alias("_c"), F.max("comp").alias("_d")).filter("_c <> _d").select("key", F.col("_c").alias("least"))
-        left = saved(named.join(several, "key"))
-        if not last and tested is pairs:  # second round: what components a bucket shows, by their least members there
-            heads = left.groupBy("key", "comp", "least").agg(F.min("id").alias("id"))
-            first = heads.filter("comp = least").select("key", F.col("id").alias("rep"))
-            star = heads.filter("comp <> least").join(first, "key").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
-        else:  # last round: all members of different components, if sizes and signatures allow it
-            full = left.select("key", "comp", "id").join(sketch, "id")
-            x, y = full.alias("x"), full.alias("y")
-            star = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _possible(percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    # Last, all members of different components that share a bucket, if sizes and signatures allow the similarity.
+    left = named().select("key", "id", "comp")
+    several = left.groupBy("key").agg(F.min("comp").alias("_c"), F.max("comp").alias("_d")).filter("_c <> _d").select("key")
+    full = saved(left.join(several, "key").join(sketch, "id"))
+    x, y = full.alias("x"), full.alias("y")
+    linked(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _possible(percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
     named = signed.select("doc_id", "n_shingles", "id").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = named.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     linked = named.filter("n_shingles > 0").join(least, "comp").select("doc_id", "n_shingles", "component_id")
