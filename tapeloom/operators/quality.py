@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from .bars import BAR, KEYS
 
-ORDER = Window.partitionBy(*KEYS).orderBy("bar_id")
+
+def order():
+    return Window.partitionBy(*KEYS).orderBy("bar_id")
 
 
 def gap_share() -> Column:
     """How far a bar's open is from the close before, as a share of it."""
-    before = F.lag("close").over(ORDER)
+    before = F.lag("close").over(order())
     return F.abs(F.col("open") - before) / before
 
 
@@ -51,7 +53,7 @@ def staleness(bars: DataFrame) -> DataFrame:
 
 def plausible(bars: DataFrame) -> DataFrame:
     """First-tier plausibility of the features of each series."""
-    w = ORDER
+    w = order()
     rows = bars.withColumn("_r", F.col("close") / F.lag("close").over(w) - 1)
     c = F.corr("ofi", "_r")
     out = rows.groupBy("symbol", "threshold").agg(
@@ -80,7 +82,7 @@ def fingerprint(bars: DataFrame) -> DataFrame:
 
 def time_gaps(bars: DataFrame, hours: float = 6.0, bps: float = 10.0) -> DataFrame:
     """Bars that follow the one before by `hours` or more, or `bps` or more away in price (basis points)."""
-    before, at = F.lag("close").over(ORDER), F.lag("close_time").over(ORDER)
+    before, at = F.lag("close").over(order()), F.lag("close_time").over(order())
     rows = bars.withColumn("gap_hours", (F.col("open_time") - at) / 3.6e9).withColumn("price_gap_bps", F.abs(F.col("open") - before) / before * 10_000)
     kind = F.when((F.col("gap_hours") >= hours) & (F.col("price_gap_bps") >= bps), "both").when(F.col("gap_hours") >= hours, "time").when(F.col("price_gap_bps") >= bps, "price")
     return rows.withColumn("kind", kind).filter("kind is not null").select(*BAR, "gap_hours", "price_gap_bps", "kind")
@@ -88,7 +90,7 @@ def time_gaps(bars: DataFrame, hours: float = 6.0, bps: float = 10.0) -> DataFra
 
 def id_gaps(bars: DataFrame) -> DataFrame:
     """Bars between which individual trades are missing or doubled."""
-    return bars.withColumn("missing", F.col("first_trade_id") - F.lag("last_trade_id").over(ORDER) - 1).filter("missing <> 0").select(*BAR, "missing")
+    return bars.withColumn("missing", F.col("first_trade_id") - F.lag("last_trade_id").over(order()) - 1).filter("missing <> 0").select(*BAR, "missing")
 
 
 def duplicates(bars: DataFrame, by: list[str]) -> DataFrame:

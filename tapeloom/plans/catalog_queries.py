@@ -713,7 +713,7 @@ def _(s, d):
 
 @query("val_temporal", "SELECT symbol, bar_id FROM (SELECT *, lag(close_time) OVER (PARTITION BY symbol, threshold, segment ORDER BY bar_id) AS before FROM bars) WHERE close_time < open_time OR open_time < before", "", PLAIN)
 def _(s, d):
-    b = bars(s, d).withColumn("_b", F.lag("close_time").over(Q.ORDER))
+    b = bars(s, d).withColumn("_b", F.lag("close_time").over(Q.order()))
     return b.filter("close_time < open_time or open_time < _b").select(*ID)
 
 
