@@ -61,14 +61,17 @@ def vector() -> list[Column]:
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """Adds _g: language and source, or language, or all, by how many texts there are."""
+    """Adds _g, the finest of language and source, language, and all that has MIN_GROUP texts (else all), and _fit, the groups
+    that a text is estimated in: each of the three that any row looks up."""
     lang, source = (F.when(F.col(c).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(c))) for c in ("_lang", "_source"))
     keyed = rows.withColumn("_l", lang).withColumn("_s", source)
-    fine = keyed.filter("not base_failed").groupBy("_l", "_s").agg(F.count(F.lit(1)).alias("_n"))
-    coarse = fine.groupBy("_l").agg(F.sum("_n").alias("_m"))
-    both = fine.join(coarse, "_l")
-    name = F.when(F.col("_n") >= MIN_GROUP, F.to_json(F.struct("_l", "_s"))).when(F.col("_m") >= MIN_GROUP, F.to_json(F.struct("_l"))).otherwise(F.lit("{}"))
-    return keyed.join(both.select("_l", "_s", name.alias("_g")), ["_l", "_s"], "left").drop("_l", "_s")
+    fine = keyed.groupBy("_l", "_s").agg(F.count_if(~F.col("base_failed")).alias("_n"))
+    coarse = fine.groupBy("_l").agg(F.sum("_n").alias("_m"), F.min("_n").alias("_least"))
+    every = coarse.agg((F.min("_m") < MIN_GROUP).alias("_all"))
+    pair, language = F.when(F.col("_n") >= MIN_GROUP, F.to_json(F.struct("_l", "_s"))), F.when(F.col("_m") >= MIN_GROUP, F.to_json(F.struct("_l")))
+    fit = F.array_compact(F.array(pair, F.when(F.col("_least") < MIN_GROUP, language), F.when(F.col("_all"), F.lit("{}"))))
+    named = fine.join(coarse, "_l").crossJoin(F.broadcast(every))  # one row
+    return keyed.join(saved(named.select("_l", "_s", F.coalesce(pair, language, F.lit("{}")).alias("_g"), fit.alias("_fit"))), ["_l", "_s"], "left").drop("_l", "_s")
 
 
 def _distance() -> Column:
@@ -106,21 +109,21 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     kept is false if base_failed, or if the squared robust distance is over the 1 - 1e-6 quantile. Estimates come from the
     texts that pass the base rules, of one language and source (null is a value of its own); with fewer than MIN_GROUP of
-    them from the language's, or all. Null and empty texts have no words and fail. Repeated rows count as often as they are.
+    them from all of the language's, and where those are fewer too, from all. Null and empty texts have no words and fail. Repeated rows count as often as they are.
     A table in which no text passes keeps none. Other columns aren't read.
     """
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").cast("string").alias("_lang"), F.col(f"`{source_col}`").cast("string").alias("_source"))
     counted = statistics(narrow, "_text").drop("_text")
     rows = saved(_groups(saved(counted.select("*", *[v.alias(x) for v, x in zip(vector(), X)]))))
-    good = rows.filter("not base_failed").select("_g", *X)
+    good = rows.filter("not base_failed").select(F.explode("_fit").alias("_g"), *X)
     # Two starts: distance from medians in units of the spread about them, and in units of the floors.
-    middle = good.groupBy("_g").agg(*[_median(x).alias(f"_m{i}") for i, x in enumerate(X)])
+    middle = saved(good.groupBy("_g").agg(*[_median(x).alias(f"_m{i}") for i, x in enumerate(X)]))
     off = [F.abs(F.col(x) - F.col(f"_m{i}")) for i, x in enumerate(X)]
     spread = good.join(middle, "_g").groupBy("_g").agg(*[F.first(f"_m{i}").alias(f"_m{i}") for i in range(D)], *[_median(o).alias(f"_s{i}") for i, o in enumerate(off)])
     starts = saved(spread.select("_g", F.array(*[F.col(f"_m{i}") for i in range(D)]).alias("_m"), F.explode(F.array(*[F.struct(F.lit(k).alias("start"), F.array(*[(1 / (F.greatest(1.4826 * F.col(f"_s{i}"), F.lit(FLOORS[i])) if k == 0 else F.lit(FLOORS[i]))) if i == j else F.lit(0.0) for i in range(D) for j in range(i + 1)]).alias("_c")) for k in (0, 1)])).alias("_e")).select("_g", "_m", "_e.start", "_e._c"))
     for _ in range(STEPS):
         far = good.join(starts, "_g").select("_g", "start", *X, _distance().alias("_d"))
-        near = far.groupBy("_g", "start").agg(_median("_d", SHARE).alias("_h"))
+        near = saved(far.groupBy("_g", "start").agg(_median("_d", SHARE).alias("_h")))
         starts = saved(_estimate(far.join(near, ["_g", "start"]).filter("_d <= _h"), ["_g", "start"]))
     best = starts.groupBy("_g").agg(F.min_by(F.struct("_m", "_c"), F.struct("_det", "start")).alias("_e")).select("_g", "_e._m", "_e._c")
 

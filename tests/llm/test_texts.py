@@ -226,6 +226,21 @@ def test_mcd_rejects_planted_outliers_and_keeps_the_rest(spark):
     assert all(rows[i] for i in range(150)) and not any(rows[i] for i in range(150, 158))
 
 
+def test_small_groups_are_judged_by_all_of_their_language_or_of_the_table(spark):
+    rng = random.Random(12)
+    clean = lambda: " ".join("".join(rng.choice("aeioustr") for _ in range(rng.randint(2, 8))) for _ in range(150))
+    junk = lambda: " ".join("".join(rng.choice("#$%&") for _ in range(30)) for _ in range(150))
+    rows = [(i, clean(), "en", "hot") for i in range(150)]
+    rows += [(200, junk(), "en", "rare"), (201, junk(), "en", None), (202, junk(), "fr", "rare"), (203, junk(), None, None)]  # alone in their group
+    rows += [(300 + i, junk(), "en", "bad") for i in range(4)] + [(310, clean(), "en", "bad")]  # a clean text among junk
+    rows += [(320, clean(), "de", "rare"), (330, "too short", "en", "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.judged(docs).collect()}
+    assert len(got) == len(rows)
+    assert {i for i, r in got.items() if r.kept} == {*range(150), 310, 320}
+    assert got[330].base_failed and got[330].distance is not None
+
+
 @pytest.mark.parametrize("make", [tokens.token_counts, pieces.coded, media.media_features, personal.personal_data, outliers.judged, mixing.planned])
 def test_empty_tables(spark, make):
     assert make(table(spark, ["x"]).filter("false")).count() == 0
