@@ -141,6 +141,31 @@ def walk_forward(rows: DataFrame, fold_bars: int, folds: tuple) -> DataFrame:
     return each.groupBy("symbol", "fold").agg(F.avg(F.when(up & (fold < F.col("fold")), F.col("ret"))).alias("train"), F.avg(F.when(up & (fold == F.col("fold")), F.col("ret"))).alias("test"))
 
 
+def momentum_walk_forward(rows: DataFrame, train_bars: int, test_bars: int, least: int = 20, k_end: int = 5, over: float = 0.05) -> DataFrame:
+    """Of each fold to the end of the series: P(reverse|K=1) - P(reverse|K=k_end) of rising runs in the train_bars before it and
+    in its test_bars, whether the first is over `over` and the second over 0. Runs are cut at the edges of both windows. As many
+    runs as reach K are bars at place K of their run. A difference is null where fewer than `least` runs reach 1 or k_end."""
+    if train_bars % test_bars:
+        raise ValueError("train_bars is not a multiple of test_bars")
+    blocks = train_bars // test_bars
+    first = F.coalesce(F.lag("direction").over(R.series()) != F.col("direction"), F.lit(True))
+    numbered = rows.withColumn("_i", F.row_number().over(R.series()) - 1).withColumn("_f", first)
+    placed = numbered.withColumn("_start", F.max(F.when(F.col("_f"), F.col("_i"))).over(R.series().rowsBetween(Window.unboundedPreceding, 0)))
+    block = F.floor(F.col("_i") / test_bars)
+    # Each bar is in the training of `blocks` folds and in the test of one.
+    each = placed.filter("direction = 'U'").select(*BY, "_i", "_start", F.explode(F.sequence(block - blocks, block)).alias("fold"), block.alias("_b")).filter("fold >= 0")
+    test = F.col("_b") == F.col("fold") + blocks
+    edge = F.when(test, (F.col("fold") + blocks) * test_bars).otherwise(F.col("fold") * test_bars)
+    place = F.col("_i") - F.greatest("_start", edge) + 1
+    ks = (1, 2, k_end, k_end + 1)
+    counts = each.groupBy(*BY, "fold").agg(*[F.count_if((test == is_test) & (place == k)).alias(f"_{name}{k}") for name, is_test in (("train", False), ("test", True)) for k in ks])
+    folds = placed.groupBy(*BY).agg(F.floor((F.count(F.lit(1)) - train_bars) / test_bars).alias("_n")).filter("_n > 0").select(*BY, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("fold"))
+    n = lambda name, k: F.coalesce(F.col(f"_{name}{k}"), F.lit(0))
+    delta = lambda name: F.when((n(name, 1) >= least) & (n(name, k_end) >= least), F.try_divide(n(name, k_end + 1), n(name, k_end)) - F.try_divide(n(name, 2), n(name, 1)))
+    out = folds.join(counts, [*BY, "fold"], "left").select(*BY, "fold", delta("train").alias("train_delta"), delta("test").alias("test_delta"))
+    return out.withColumn("predicted", F.col("train_delta") > over).withColumn("actual", F.col("test_delta") > 0).withColumn("correct", F.col("predicted") == F.col("actual"))
+
+
 def _per_symbol(bars: DataFrame, run, schema: str) -> DataFrame:
     """A function of each series' closes in order. Bars are the condensed form of trades; a series' closes fit a task."""
     from .bars import ship

@@ -503,6 +503,12 @@ def _(s, d):
     return A.walk_forward(directed(s, d), 40, (1, 2, 3))
 
 
+#: All folds of each series, and the reference's measure; st_wfo keeps what its SQL states.
+@query("st_wfo_momentum")
+def _(s, d):
+    return A.momentum_walk_forward(directed(s, d), 160, 40, least=1)
+
+
 # ---------------------------------------------------------------- top-k, store, sets
 
 
