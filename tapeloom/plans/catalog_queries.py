@@ -225,6 +225,13 @@ def _(s, d):
     return A.nearest(breaks, marks, "close_time", "ts_us", ["symbol"], "event").select(*ID, F.col("event").alias("nearest"))
 
 
+#: All bars and all trades; the SQL of jn_nearest_event joins all pairs, and so states a part of them.
+@query("jn_nearest_event_all")
+def _(s, d):
+    marks = trades(s, d).select("symbol", "ts_us", F.col("agg_trade_id").alias("event"))
+    return A.nearest(bars(s, d).select("symbol", "bar_id", "close_time"), marks, "close_time", "ts_us", ["symbol"], "event").select(*ID, F.col("event").alias("nearest"))
+
+
 @query("jn_anti_dedup", "SELECT symbol, count(*) AS n FROM trades WHERE agg_trade_id NOT IN (SELECT agg_trade_id FROM trades WHERE agg_trade_id % 3 = 0) GROUP BY symbol", "", TRADES)
 def _(s, d):
     t = trades(s, d)

@@ -48,3 +48,19 @@ def test_walk_forward_query_uses_every_bar(spark):
     bars = {r.symbol: r["count"] for r in catalog.QUERIES["rb_batch"](spark, SF).groupBy("symbol").count().collect()}
     folds = {r.symbol: r["count"] for r in catalog.QUERIES["st_wfo_momentum"](spark, SF).groupBy("symbol").count().collect()}
     assert folds == {s: (n - 160) // 40 for s, n in bars.items() if n >= 200}
+
+
+def test_nearest_event_of_every_bar_among_all_trades(spark):
+    from oracle_check import agree
+
+    sql = "SELECT b.symbol, b.bar_id, arg_min(t.agg_trade_id, (abs(t.ts_us - b.close_time), t.agg_trade_id)) AS nearest FROM bars b JOIN trades t ON t.symbol = b.symbol GROUP BY ALL"
+    agree(spark, catalog.QUERIES["jn_nearest_event_all"], f"{catalog.PLAIN}\n{sql}", SF)
+
+
+def test_nearest_of_ties_and_gaps(spark):
+    rng = random.Random(14)
+    bars = [(s, i, rng.randrange(60)) for s in "ab" for i in range(40)]
+    events = [(s, rng.randrange(60), i) for s in "a" for i in range(25)] + [("b", 30, 7), ("b", 30, 3)]
+    got = A.nearest(spark.createDataFrame(bars, "symbol string, bar_id long, t long"), spark.createDataFrame(events, "symbol string, e long, event long"), "t", "e", ["symbol"], "event")
+    want = {(s, i): min((abs(e - t), v) for q, e, v in events if q == s)[1] for s, i, t in bars}
+    assert {(r.symbol, r.bar_id): r.event for r in got.collect()} == want
