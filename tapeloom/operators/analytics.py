@@ -187,29 +187,53 @@ def hurst_estimates(bars: DataFrame) -> DataFrame:
     return _per_symbol(bars, run, "symbol string, n long, hurst_rs double, hurst_dfa double, hurst_variance double")
 
 
-def drift(bars: DataFrame, delta: float = 0.002, most: int = 4096) -> DataFrame:
-    """Adaptive windowing (ADWIN) over squared logarithmic returns: the places where the mean changes. Cuts are tried at
-    exponentially spaced places of the window."""
+class Adaptive:
+    """The window of ADWIN: at most MOST buckets of each power of two values, oldest first; memory grows with the logarithm of
+    the window. A bucket is the count, sum, sum of squared deviations, and maximum of its values."""
+
+    MOST = 5
+
+    def __init__(self):
+        self.buckets = np.zeros((0, 4))
+
+    def add(self, x: float) -> None:
+        rows = [*self.buckets.tolist(), [1.0, x, 0.0, x]]
+        end = len(rows)
+        while end > self.MOST and rows[end - self.MOST - 1][0] == rows[end - 1][0]:  # one more than MOST of a size: join its two oldest
+            k = end - self.MOST - 1
+            (n, s, v, m), (n2, s2, v2, m2) = rows[k], rows[k + 1]
+            rows[k : k + 2] = [[n + n2, s + s2, v + v2 + (s / n - s2 / n2) ** 2 * n * n2 / (n + n2), max(m, m2)]]
+            end = k + 1
+        self.buckets = np.array(rows)
+
+    def cut(self, delta: float, least: int = 10, width: int = 20) -> bool:
+        """Drops oldest buckets as long as the means before and after any border differ; whether any was dropped."""
+        found = False
+        while len(self.buckets) > 1:
+            n, s, v, m = self.buckets.T
+            size, total = n.sum(), s.sum()
+            if size < width:
+                break
+            var = (v.sum() + (n * (s / n - total / size) ** 2).sum()) / size
+            a, left = np.cumsum(n)[:-1], np.cumsum(s)[:-1]
+            b = size - a
+            r, d = 1 / a + 1 / b, math.log(2 * math.log(size) / delta)
+            hit = np.abs(left / a - (total - left) / b) > np.sqrt(2 * r * var * d) + 2 / 3 * r * d * m.max()
+            if not (hit & (a >= least) & (b >= least)).any():
+                break
+            self.buckets, found = self.buckets[1:], True
+        return found
+
+
+def drift(bars: DataFrame, delta: float = 0.002) -> DataFrame:
+    """Adaptive windowing (ADWIN) over squared logarithmic returns: the places where the mean changes. The window grows without
+    limit until a cut; cuts are tried at the borders of its buckets after each return."""
 
     def run(symbol, close):
-        x = np.diff(np.log(close)) ** 2
-        start, found = 0, []
-        for end in range(10, len(x) + 1):
-            start = max(start, end - most)
-            w = x[start:end]
-            if len(w) < 20:
-                continue
-            total, var = np.cumsum(w), float(w.var())
-            cuts = np.unique(len(w) - (10 * 1.3 ** np.arange(1, 60)).astype(int))
-            cuts = cuts[(cuts >= 10)]
-            if not len(cuts):
-                continue
-            a, b = cuts, len(w) - cuts
-            gap = np.abs(total[cuts - 1] / a - (total[-1] - total[cuts - 1]) / b)
-            m, d = 1 / (1 / a + 1 / b), math.log(2 * math.log(len(w)) / delta)
-            hit = np.flatnonzero(gap > np.sqrt(2 / m * var * d) + 2 / (3 * m) * d * float(w.max()))
-            if len(hit):
-                start += int(cuts[hit[-1]])
+        window, found = Adaptive(), []
+        for end, x in enumerate((np.diff(np.log(close)) ** 2).tolist(), 1):
+            window.add(x)
+            if window.cut(delta):
                 found.append(end)
         return pd.DataFrame({"symbol": symbol, "at": np.array(found, np.int64)})
 

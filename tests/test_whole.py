@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
+
 from tapeloom.operators import analytics as A
 from tapeloom.plans import catalog
 
@@ -64,3 +67,39 @@ def test_nearest_of_ties_and_gaps(spark):
     got = A.nearest(spark.createDataFrame(bars, "symbol string, bar_id long, t long"), spark.createDataFrame(events, "symbol string, e long, event long"), "t", "e", ["symbol"], "event")
     want = {(s, i): min((abs(e - t), v) for q, e, v in events if q == s)[1] for s, i, t in bars}
     assert {(r.symbol, r.bar_id): r.event for r in got.collect()} == want
+
+
+def test_adaptive_window_is_the_raw_values():
+    rng = np.random.default_rng(15)
+    window, raw = A.Adaptive(), []
+    for k, x in enumerate(rng.gamma(1.0, 1.0, 3000)):
+        window.add(float(x))
+        raw.append(x)
+        if k % 700 == 699:
+            raw = raw[int(window.buckets[0, 0]) :]
+            window.buckets = window.buckets[1:]
+        sizes = window.buckets[:, 0]
+        assert sizes.sum() == len(raw) and len(sizes) <= 6 * 12 and (np.diff(sizes) <= 0).all()
+        assert max(np.unique(sizes, return_counts=True)[1]) <= A.Adaptive.MOST
+    at = 0
+    for n, s, v, m in window.buckets:
+        part = np.array(raw[at : at + int(n)])
+        assert np.allclose([s, v, m], [part.sum(), part.var() * len(part), part.max()])
+        at += int(n)
+
+
+def test_drift_that_needs_more_than_4096_bars_is_found(spark):
+    rng = np.random.default_rng(16)
+    n = 20_000
+
+    def closes(symbol, x):
+        step = np.sqrt(x) * np.where(np.arange(len(x)) % 2, 1, -1) * 1e-3
+        return pd.DataFrame({"symbol": symbol, "bar_id": np.arange(len(x) + 1), "close": np.exp(np.cumsum(np.r_[0, step]))})
+
+    frames = [closes("slow", np.r_[rng.random(n), rng.random(n) + 0.03]), closes("same", rng.random(n)), closes("fast", np.r_[rng.random(500), rng.random(500) + 2])]
+    found: dict = {}
+    for r in A.drift(spark.createDataFrame(pd.concat(frames))).collect():
+        found.setdefault(r.symbol, []).append(r["at"])
+    assert "same" not in found
+    assert found["slow"] and min(found["slow"]) > n
+    assert 500 < min(found["fast"]) < 550
