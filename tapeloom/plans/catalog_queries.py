@@ -601,6 +601,11 @@ def _(s, d):
     return inside.select("agg_trade_id", *[c.alias(k) for k, c in C.sessions(F.col("ts_us")).items()])
 
 
+@query("fn_sessions_all")
+def _(s, d):
+    return trades(s, d).select("agg_trade_id", *[c.alias(k) for k, c in C.sessions(F.col("ts_us")).items()])
+
+
 @query("fn_asset_class", "SELECT symbol, CASE WHEN symbol LIKE '%usd%' THEN 'forex' ELSE 'unknown' END AS asset_class FROM (SELECT DISTINCT symbol FROM trades)", "", TRADES)
 def _(s, d):
     return trades(s, d).select("symbol").distinct().select("symbol", C.asset_class(F.col("symbol")).alias("asset_class"))
@@ -760,6 +765,29 @@ def _(s, d):
     return T.canonical(t, "view").select("agg_trade_id", "price_fp", "volume_fp", "ts_us", "is_buyer_maker")
 
 
+# The queries above, src_tick_store, src_parquet_recover and fn_sessions keep what their SQL states; those named _all take all rows.
+
+
+@query("src_trades_csv_all", f"SELECT {_T_COLS} FROM trades", "", TRADES)
+def _(s, d):
+    path = shared(s, "trades-csv")
+    t = trades(s, d)
+    t.select("symbol", "agg_trade_id", C.formatted(F.col("price_fp")).alias("p"), C.formatted(F.col("volume_fp")).alias("q"), "first_trade_id", "last_trade_id", "ts_us", F.when(F.col("is_buyer_maker"), "True").otherwise("False").alias("m")).write.partitionBy("symbol").option("header", True).csv(path)
+    return T.read_csv(s, path).select(*_T_COLS.split(", "))
+
+
+@query("src_trades_json_all", f"SELECT {_T_COLS} FROM trades", "", TRADES)
+def _(s, d):
+    t = trades(s, d).select("symbol", F.to_json(F.struct(F.col("agg_trade_id").alias("a"), C.formatted(F.col("price_fp")).alias("p"), C.formatted(F.col("volume_fp")).alias("q"), F.col("first_trade_id").alias("f"), F.col("last_trade_id").alias("l"), F.col("ts_us").alias("T"), F.col("is_buyer_maker").alias("m"))).alias("payload"))
+    return T.from_json(t, "payload", F.col("symbol")).select(*_T_COLS.split(", "))
+
+
+@query("src_arrow_all", "SELECT symbol, agg_trade_id, price_fp, volume_fp, ts_us, false AS is_buyer_maker FROM trades", "", TRADES)
+def _(s, d):
+    t = trades(s, d).select("symbol", "agg_trade_id", F.col("ts_us").alias("timestamp"), C.formatted(F.col("price_fp")).alias("price"), C.formatted(F.col("volume_fp")).alias("quantity"))
+    return T.canonical(t, F.col("symbol")).select("symbol", "agg_trade_id", "price_fp", "volume_fp", "ts_us", "is_buyer_maker")
+
+
 @query("src_chunks", "SELECT symbol, ts_us - ts_us % 21600000000 AS chunk, count(*) AS n FROM trades GROUP BY ALL", "", TRADES)
 def _(s, d):
     return trades(s, d).groupBy("symbol", T.hour_chunk(F.col("ts_us")).alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
@@ -790,10 +818,23 @@ def _(s, d):
     return store.read("click", 0, 4_000_000_000_000_000).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("first"), F.max("ts_us").alias("last"))
 
 
+@query("src_tick_store_all", "SELECT symbol, count(*) AS n, min(ts_us) AS first, max(ts_us) AS last FROM trades GROUP BY symbol", "", TRADES)
+def _(s, d):
+    store = T.TickStore(s, shared(s, "ticks"))
+    t = trades(s, d)
+    store.append(t.filter("agg_trade_id % 2 = 0"))
+    store.append(t)
+    return store.read(None, 0, 4_000_000_000_000_000).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("first"), F.max("ts_us").alias("last"))
+
+
+#: A table's file, or a file of its folder, below the folder of tables.
+_FILE = r"[^/]+\.parquet(/[^/]+)*$"
+
+
 @query("src_checksum")
 def _(s, d):
-    found = T.file_digests(s, f"{d}/region.parquet")
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "sha256")
+    found = T.file_digests(s, f"{d}/*.parquet")
+    return found.select(F.regexp_extract("path", _FILE, 0).alias("name"), "length", "sha256")
 
 
 @query("src_ticks_quote", "SELECT symbol, count(*) AS n FROM (SELECT event_type AS symbol FROM events) GROUP BY symbol")
@@ -937,6 +978,11 @@ def _(s, d):
     return T.whole_parquet(s, f"{d}/region.parquet").agg(F.count(F.lit(1)).cast("int").alias("files"), F.count_if("ok").cast("int").alias("whole"))
 
 
+@query("src_parquet_recover_all")
+def _(s, d):
+    return T.whole_parquet(s, f"{d}/*.parquet").agg(F.count(F.lit(1)).cast("int").alias("files"), F.count_if("ok").cast("int").alias("whole"))
+
+
 @query("st_tda")
 def _(s, d):
     return A.persistence(bars(s, d))

@@ -31,8 +31,9 @@ def individual(first: str = "first_trade_id", last: str = "last_trade_id") -> Co
     return F.col(last) - F.col(first) + 1
 
 
-def canonical(df: DataFrame, symbol: str) -> DataFrame:
-    """Fills what a source may lack: volume from quantity, ids from each other, maker side false."""
+def canonical(df: DataFrame, symbol: str | Column) -> DataFrame:
+    """Fills what a source may lack: volume from quantity, ids from each other, maker side false. `symbol` is one name, or a
+    column of df."""
     have = set(df.columns)
     pick = lambda *names: next((F.col(n) for n in names if n in have), None)
     for needed, found in (("timestamp", pick("timestamp", "ts_us")), ("price", pick("price")), ("volume", pick("volume", "quantity"))):
@@ -43,23 +44,24 @@ def canonical(df: DataFrame, symbol: str) -> DataFrame:
     trade = F.monotonically_increasing_id() if trade is None else trade.cast("long")
     first, last, maker = pick("first_trade_id"), pick("last_trade_id"), pick("is_buyer_maker")
     return df.select(
-        F.lit(symbol).alias("symbol"), trade.alias("agg_trade_id"), fixed(pick("price")).alias("price_fp"), fixed(pick("volume", "quantity")).alias("volume_fp"),
+        (F.lit(symbol) if isinstance(symbol, str) else symbol).alias("symbol"), trade.alias("agg_trade_id"), fixed(pick("price")).alias("price_fp"), fixed(pick("volume", "quantity")).alias("volume_fp"),
         F.coalesce(first, trade).alias("first_trade_id") if first is not None else trade.alias("first_trade_id"),
         F.coalesce(last, trade).alias("last_trade_id") if last is not None else trade.alias("last_trade_id"),
         ts.alias("ts_us"), (F.coalesce(maker.cast("boolean"), F.lit(False)) if maker is not None else F.lit(False)).alias("is_buyer_maker"),
     )
 
 
-def read_csv(spark: SparkSession, path: str, symbol: str) -> DataFrame:
-    """Daily trade files: 7 columns by place (more are passed over), with or without a header line."""
-    raw = spark.read.schema(CSV_SCHEMA).option("mode", "PERMISSIVE").csv(path).filter(F.col("a").rlike("^[0-9]+$"))
-    return canonical(raw.select(F.col("a").alias("agg_trade_id"), F.col("p").alias("price"), F.col("q").alias("volume"), F.col("f").cast("long").alias("first_trade_id"), F.col("l").cast("long").alias("last_trade_id"), F.col("t").alias("timestamp"), (F.lower(F.trim("m")) == "true").alias("is_buyer_maker")), symbol)
+def read_csv(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
+    """Daily trade files: 7 columns by place (more are passed over), with or without a header line. Without a symbol those of
+    all, in folders symbol=..."""
+    raw = spark.read.schema(CSV_SCHEMA if symbol is not None else f"{CSV_SCHEMA}, symbol string").option("mode", "PERMISSIVE").csv(path).filter(F.col("a").rlike("^[0-9]+$"))
+    return canonical(raw.select(F.col("a").alias("agg_trade_id"), F.col("p").alias("price"), F.col("q").alias("volume"), F.col("f").cast("long").alias("first_trade_id"), F.col("l").cast("long").alias("last_trade_id"), F.col("t").alias("timestamp"), (F.lower(F.trim("m")) == "true").alias("is_buyer_maker"), *(["symbol"] if symbol is None else [])), F.col("symbol") if symbol is None else symbol)
 
 
-def from_json(rows: DataFrame, column: str, symbol: str) -> DataFrame:
-    """Trades from payloads {a, p, q, f, l, T, m}."""
-    x = rows.select(F.from_json(column, JSON_SCHEMA).alias("j")).select("j.*")
-    return canonical(x.select(F.col("a").alias("agg_trade_id"), F.col("p").alias("price"), F.col("q").alias("volume"), F.col("f").alias("first_trade_id"), F.col("l").alias("last_trade_id"), F.col("T").alias("timestamp"), F.col("m").alias("is_buyer_maker")), symbol)
+def from_json(rows: DataFrame, column: str, symbol: str | Column) -> DataFrame:
+    """Trades from payloads {a, p, q, f, l, T, m}. `symbol` is one name, or a column of rows."""
+    x = rows.select(F.from_json(column, JSON_SCHEMA).alias("j"), (F.lit(symbol) if isinstance(symbol, str) else symbol).alias("_symbol")).select("j.*", "_symbol")
+    return canonical(x.select(F.col("a").alias("agg_trade_id"), F.col("p").alias("price"), F.col("q").alias("volume"), F.col("f").alias("first_trade_id"), F.col("l").alias("last_trade_id"), F.col("T").alias("timestamp"), F.col("m").alias("is_buyer_maker"), "_symbol"), F.col("_symbol"))
 
 
 def read_quotes(spark: SparkSession, path: str) -> DataFrame:
@@ -104,9 +106,10 @@ class TickStore:
             rows = rows.join(there, ["symbol", "agg_trade_id"], "left_anti")
         rows.repartition("symbol", "year_month").sortWithinPartitions("symbol", "ts_us", "agg_trade_id").write.mode("append").partitionBy("symbol", "year_month").parquet(self.path)
 
-    def read(self, symbol: str, start_us: int, end_us: int) -> DataFrame:
+    def read(self, symbol: str | None, start_us: int, end_us: int) -> DataFrame:
+        """Trades of one symbol, or of all (None)."""
         month = lambda us: F.date_format(F.timestamp_micros(F.lit(us)), "yyyy-MM")
-        rows = self.spark.read.parquet(self.path).filter((F.col("symbol") == symbol) & F.col("year_month").between(month(start_us), month(end_us)) & F.col("ts_us").between(start_us, end_us))
+        rows = self.spark.read.parquet(self.path).filter((F.lit(True) if symbol is None else F.col("symbol") == symbol) & F.col("year_month").between(month(start_us), month(end_us)) & F.col("ts_us").between(start_us, end_us))
         return rows.select(*COLUMNS)
 
     def coverage(self, start_us: int, end_us: int) -> DataFrame:

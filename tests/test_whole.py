@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from datetime import UTC, datetime
+from pathlib import Path
+from zoneinfo import ZoneInfo
 
 import numpy as np
 import pandas as pd
+import pytest
 
+from tapeloom.functions import scalar as C
 from tapeloom.operators import analytics as A
 from tapeloom.plans import catalog
 
@@ -103,3 +109,29 @@ def test_drift_that_needs_more_than_4096_bars_is_found(spark):
     assert "same" not in found
     assert found["slow"] and min(found["slow"]) > n
     assert 500 < min(found["fast"]) < 550
+
+
+@pytest.mark.parametrize("name", ["src_trades_csv_all", "src_trades_json_all", "src_arrow_all", "src_tick_store_all"])
+def test_sources_pass_every_symbol(spark, name):
+    from oracle_check import agree
+
+    agree(spark, catalog.QUERIES[name], catalog.SQL[name], SF)
+
+
+def test_digests_and_recovery_cover_every_table(spark):
+    files = [p for t in Path(SF).glob("*.parquet") for p in ([t] if t.is_file() else t.glob("[!._]*"))]
+    got = {r["name"]: (r.length, r.sha256) for r in catalog.QUERIES["src_checksum"](spark, SF).collect()}
+    assert len(files) > 1 and got == {str(p.relative_to(SF)): (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in files}
+    assert tuple(catalog.QUERIES["src_parquet_recover_all"](spark, SF).first()) == (len(files), len(files))
+
+
+def test_sessions_of_all_trades_and_in_daylight_saving(spark):
+    rows = [(r.agg_trade_id, r.ts_us) for r in catalog.trades(spark, SF).select("agg_trade_id", "ts_us").collect()]
+    got = {r.agg_trade_id: r.asDict() for r in catalog.QUERIES["fn_sessions_all"](spark, SF).collect()}
+    assert len(got) == len(rows)
+    summer = [(-k, 1_720_000_000_000_000 + k * 1_700_000_000) for k in range(1, 500)]
+    got |= {r.i: r.asDict() for r in spark.createDataFrame(summer, "i long, ts long").select("i", *[c.alias(k) for k, c in C.sessions(catalog.F.col("ts")).items()]).collect()}
+    for i, ts in rows + summer:
+        for name, (zone, first, end) in C.SESSIONS.items():
+            local = datetime.fromtimestamp(ts // 1_000_000, UTC).astimezone(ZoneInfo(zone))
+            assert got[i][name] == (local.weekday() < 5 and first <= local.hour < end)
