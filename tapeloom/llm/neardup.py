@@ -179,14 +179,8 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of `docs`.
-
-    Two documents are linked if 100 * intersection >= percent * union of their sets of distinct word shingles (fewer words
-    than `shingle`: the whole as one). component_id is the least doc_id reachable over links. Null and empty texts, and texts
-    of white space, have no shingles, no links, and stay. Rows of one doc_id are one document. A null doc_id never is the
-    least if any other is there. Columns other than id and text aren't read.
-    """
+def _judged(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_duplicates, with f (a hash of the text) and comp (the component, whatever its ids)."""
     spark = docs.sparkSession
     ship(spark)
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
@@ -250,12 +244,35 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     full = saved(left.join(several, "key").join(sketch, "id"))
     x, y = full.alias("x"), full.alias("y")
     linked(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _possible(percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    named = signed.select("doc_id", "n_shingles", "id").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    named = signed.select("doc_id", "f", "n_shingles", "id").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = named.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = named.filter("n_shingles > 0").join(least, "comp").select("doc_id", "n_shingles", "component_id")
-    alone = named.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = named.filter("n_shingles > 0").join(least, "comp").select("doc_id", "f", "n_shingles", "comp", "component_id")
+    alone = named.filter("n_shingles = 0").select("doc_id", "f", "n_shingles", "comp", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of `docs`.
+
+    Two documents are linked if 100 * intersection >= percent * union of their sets of distinct word shingles (fewer words
+    than `shingle`: the whole as one). component_id is the least doc_id reachable over links. Null and empty texts, and texts
+    of white space, have no shingles, no links, and stay. Rows of one doc_id are one document. A null doc_id never is the
+    least if any other is there. Columns other than id and text aren't read.
+    """
+    return _judged(docs, percent, shingle, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def unique(docs: DataFrame) -> DataFrame:
+    """One row of `docs` for each component, of its least doc_id; of texts without shingles one for each doc_id (null is a
+    value of its own)."""
+    rows = _judged(docs, PERCENT, SHINGLE, "doc_id", "text").filter("kept")
+    keys = lambda i, f: (F.col(i).isNull().alias("_null"), F.coalesce(F.col(i).cast("long"), F.lit(0).cast("long")).alias("_id"), f.alias("_f"))
+    one = rows.groupBy("comp", F.when(F.col("n_shingles") == 0, F.struct("doc_id")).alias("_alone")).agg(F.min(F.struct("doc_id", "f")).alias("_one")).select("_one.doc_id", "_one.f")
+    chosen = saved(one.select(*keys("doc_id", F.col("f"))))
+    same = ["_null", "_id", "_f"]
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.select("*", *keys("doc_id", text)).join(chosen, same).dropDuplicates(same).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

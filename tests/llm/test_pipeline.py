@@ -16,3 +16,17 @@ def test_stages_keep_columns_and_take_effect(spark):
             n = docs.count()
     last = pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
     assert last.filter("n_pieces <> size(ids)").count() == 0
+
+
+def test_deduplication_keeps_one_row_of_each_group(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = text(1) + " more"
+    rows = [(1, text(1)), (1, text(1)), (1, near), (2, near), (None, text(1)), (None, near)]  # one group
+    rows += [(None, text(2)), (None, text(2)), (None, text(3)), (4, text(2) + " more"), (5, text(4)), (5, text(5))]
+    rows += [(None, ""), (6, None), (6, " "), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.deduplicated(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted([(-1 if r.doc_id is None else r.doc_id, r.text or "") for r in got.collect()])
+    assert [i for i, _ in kept] == [-1, -1, 1, 4, 5, 5, 6, 7]
+    assert {t for i, t in kept if i == -1} == {"", text(3)} and {t for i, t in kept if i == 5} == {text(4), text(5)}
