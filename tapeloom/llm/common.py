@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -39,30 +40,77 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share. Only where it is unset (one machine, as in
-    tests) a local one is made and set."""
+    """This application's own folder in that of spark.checkpoint.dir, which driver and executors share. Where that is unset a
+    local one is made and set, but only if driver and executors are one process, as in tests. `cleared` deletes it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         folder = spark.sparkContext.getCheckpointDir()
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _applications:
+        _applications.add(application)
+        atexit.register(_cleared_at_exit, spark)
+    return f"{folder}/llm-{application}"
+
+
+_applications: set[str] = set()
+_tables: set[str] = set()
+
+
+def _deleted(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes all intermediate results of this package in this application: call it when the results of its operators have
+    been written. It is called when the driver ends, too."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+    _deleted(spark, shared_folder(spark))
+
+
+def _cleared_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the application may have been stopped
+        cleared(spark)
+
+
+#: Spark's own switch: an execution's shuffle files go when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def without_leftovers(spark: SparkSession):
+    """What is executed here leaves no shuffle files; nothing reads them after the result is written."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """`df` written once as Parquet to the shared folder and read from there: lineage ends, a lost executor costs only its
-    running tasks, and shuffle files of the finished part can go."""
+    """`df` written once as Parquet to the shared folder and read from there: lineage ends, and a lost executor costs only its
+    running tasks."""
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    freed(spark)
+    with without_leftovers(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def freed(spark: SparkSession) -> None:
-    """Lets Spark notice which shuffle files nothing refers to any more; it deletes them in the background."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def table_of(df: DataFrame, keys, buckets: int) -> DataFrame:
+    """`df` as a bucketed table in the warehouse, which all executors share: later joins by its key need not move it again."""
+    spark, name = df.sparkSession, f"llm_{uuid.uuid4().hex}"
+    _tables.add(name)
+    shared_folder(spark)
+    with without_leftovers(spark):
+        df.write.bucketBy(buckets, *keys).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -16,7 +16,6 @@ Equal texts are merged first and carry a count, so a group of copies costs one t
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, U64, Rolling, buffers, parts, saved, shuffle_partitions, ship, word_codes, words
+from .common import BYTE_CODES, U64, Rolling, buffers, parts, saved, shuffle_partitions, ship, table_of, word_codes, words
 
 PART_BYTES = 512 << 10
 TEXT_KEY = ("f1", "f2")
@@ -84,24 +83,11 @@ def texts_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select("*", text.alias("_text"), F.xxhash64(text).alias("f1"), F.xxhash64(F.lit(20240229), text).alias("f2"))
 
 
-class Table:
-    """A bucketed table in the warehouse, which all executors share: later joins by its key need not move it again."""
-
-    def __init__(self, df: DataFrame, keys=TEXT_KEY, buckets: int | None = None):
-        self.spark, self.name = df.sparkSession, f"t_{uuid.uuid4().hex}"
-        buckets = buckets or shuffle_partitions(self.spark)
-        df.write.bucketBy(buckets, *keys).option("compression", "zstd").format("parquet").saveAsTable(self.name)
-
-    @property
-    def df(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-
 def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """f1, f2, text, copies: each text once."""
     keyed = texts_of(docs, text_col).select("f1", "f2", "_text")
     grouped = keyed.groupBy("f1", "f2").agg(F.first("_text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    return Table(grouped).df
+    return table_of(grouped, TEXT_KEY, shuffle_partitions(docs.sparkSession))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
