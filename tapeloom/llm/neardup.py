@@ -6,9 +6,10 @@ its CHUNK deletion variants, so every such pair meets in a bucket. That guarante
 (30 expected) a pair with more still meets with all but 3e-7 probability, as each chunk is a chance of its own.
 
 Buckets aren't expanded into pairs. First each document is compared with the heads of its buckets, one at a time (as many
-rows as documents), links are confirmed and components contracted. Only members of different components that remain in one bucket are compared pair by pair, and of those
-only pairs whose sizes and signatures allow the similarity. So a group of thousands of copies costs rows in proportion to it,
-and no link between what isn't connected already is lost.
+rows as documents), links are confirmed and components contracted. Members of buckets that still hold several components are
+then joined by an exact prefix test (`meeting`): a pair is made only if the full sets can still have the similarity. So a
+group of thousands of copies, or of texts that are alike without being linked, costs rows in proportion to it, and no link is
+lost that a bucket shows.
 """
 
 from __future__ import annotations
@@ -18,16 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, buffers, documents, freed, lower_ascii, mixed, parts, saved, ship, word_codes, words
+from .common import U64, Rolling, buffers, documents, lower_ascii, mixed, parts, saved, ship, word_codes, words
 
 SHINGLE = 5
 PERCENT = 75
 CHUNKS, CHUNK, ERRORS = 20, 6, 1
 SYMBOLS = CHUNKS * CHUNK
-PLANES = 4  # low bits of each symbol that the native comparison of signatures looks at
-#: Differences in PLANES bits of 120 symbols: 28 expected at similarity 0.75, standard deviation 4.6. A pair of that similarity
-#: has more than this with probability 1e-7.
-MOST_DIFFERENT = 53
 #: Heads that each document is compared with before pairs are.
 HEADS = 2
 _rng = np.random.default_rng(75)
@@ -65,16 +62,6 @@ def signature(found: np.ndarray) -> np.ndarray:
     return least.astype(np.uint16)
 
 
-def _planes(signatures: np.ndarray) -> list[np.ndarray]:
-    """The low bits of all symbols, as numbers of 60 bits: PLANES of the first half of the symbols, PLANES of the second."""
-    weights = U64(1) << np.arange(SYMBOLS // 2, dtype=U64)
-    halves = signatures.reshape(len(signatures), 2, SYMBOLS // 2)
-    return [((halves[:, h] >> p & 1).astype(U64) @ weights).astype(np.int64) for h in range(2) for p in range(PLANES)]
-
-
-PLANE_NAMES = [f"p{i}" for i in range(2 * PLANES)]
-
-
 def _signed_sets(shingle: int):
     def run(batches):
         for batch in batches:
@@ -103,60 +90,85 @@ def _index(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
 
 
-def _with_planes(batches):
-    for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, _planes(sig))], ["id", "n", *PLANE_NAMES])
-
+def _bags(shingle: int):
+    def run(batches):
+        for batch in batches:
+            for part in parts(batch, most=1 << 20):
+                sets = shingle_sets(part.column(1), shingle)
+                size = np.array([len(x) for x in sets], np.int64)
+                at = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*sets, np.zeros(0, U64)]).view(np.int64)))], ["id", "n", "shingles"])
 
-def _possible(percent: int):
-    """Whether sizes and signatures of sides x and y allow the similarity."""
-    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    differ = None
-    for h in range(2):
-        bits = None
-        for p in range(PLANES):
-            one = F.col(f"x.p{h * PLANES + p}").bitwiseXOR(F.col(f"y.p{h * PLANES + p}"))
-            bits = one if bits is None else bits.bitwiseOR(one)
-        differ = F.bit_count(bits) if differ is None else differ + F.bit_count(bits)
-    return (small * 100 >= large * percent) & (differ <= MOST_DIFFERENT)
+    return run
 
 
-def _confirm(shingle: int, percent: int):
-    """From rows sorted by (a, salt, b), the first of each group being the text of `a` itself (b null): the linked pairs."""
+def _confirm(percent: int):
+    """From rows sorted by (a, salt, b), the first of each group being the set of `a` itself (b null): the linked pairs."""
 
     def run(batches):
         key, own = None, None
         for batch in batches:
-            for part in parts(batch, most=1 << 20):
-                sets = shingle_sets(part.column(3), shingle)
-                a, salt = part.column(0).to_pylist(), part.column(1).to_pylist()
-                b = part.column(2).to_pylist()
-                found = []
-                for i, other in enumerate(b):
-                    if other is None:
-                        key, own = (a[i], salt[i]), sets[i]
-                    elif key == (a[i], salt[i]):
-                        both = len(np.intersect1d(own, sets[i], assume_unique=True))
-                        if 100 * both >= percent * (len(own) + len(sets[i]) - both):
-                            found.append(i)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found, pa.int64())), part.column(2).take(pa.array(found, pa.int64()))], ["a", "b"])
+            lists = batch.column(3)
+            at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            items = lists.flatten().to_numpy(zero_copy_only=False).view(U64)
+            a, salt, b = (batch.column(i).to_pylist() for i in range(3))
+            found = []
+            for i, other in enumerate(b):
+                mine = items[at[i] : at[i + 1]]
+                if other is None:
+                    key, own = (a[i], salt[i]), mine
+                elif key == (a[i], salt[i]):
+                    both = len(np.intersect1d(own, mine, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(mine) - both):
+                        found.append(i)
+            found = pa.array(found, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(found), batch.column(2).take(found)], ["a", "b"])
 
     return run
 
 
-#: Members compared with one text in a task.
+#: Members compared with one set in a task.
 SALT = 400
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets have the similarity. `texts`: id, text. A text of very many pairs is
-    copied to several groups, so that none is large."""
+def confirmed(pairs: DataFrame, bags: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets have the similarity. `bags`: id, shingles. A set of very many pairs is copied
+    to several groups, so that none is large."""
     groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("_s"))
-    owners = groups.join(texts, groups["a"] == texts["id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
-    members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_s")).cast("int").alias("salt"), "b").join(texts, F.col("b") == texts["id"]).select("a", "salt", "b", "text")
+    owners = groups.join(bags, groups["a"] == bags["id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "shingles")
+    members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_s")).cast("int").alias("salt"), "b").join(bags, F.col("b") == bags["id"]).select("a", "salt", "b", "shingles")
     rows = owners.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return saved(rows.mapInArrow(_confirm(shingle, percent), "a long, b long"))
+    return saved(rows.mapInArrow(_confirm(percent), "a long, b long"))
+
+
+def meeting(bags: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components whose sets may have the similarity: all that have it, and few others. `bags`: id,
+    comp, n, shingles.
+
+    Sets x and y have it only if they share p / (100 + p) * (n_x + n_y) shingles, and what sets of different components share
+    are shingles of several components. Put these in one order, the rarest first: if the first that x and y share has r_x
+    (r_y) such shingles of x (y) from it on, they share min(r_x, r_y) at most. So r_x bounds the partner's size (`reach`), and
+    a pair is made only where each is within the other's reach. A text whose own words rule a link out makes no row.
+    """
+    exploded = bags.select("id", "comp", "n", F.explode("shingles").alias("s"))
+    shared = exploded.groupBy("s").agg(F.count(F.lit(1)).alias("_df"), (F.min("comp") != F.max("comp")).alias("_several")).filter("_several").select("s", "_df")
+    ordered = exploded.join(shared, "s").groupBy("id").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("_df", "s"))).alias("_found"))  # of one set
+    short = ordered.withColumn("m", F.size("_found")).filter(F.col("m") * 100 >= F.col("n") * percent)
+    ahead = F.slice(F.transform("_found", lambda e: e["s"]), F.lit(1), (F.col("m") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    rows = short.select("id", "comp", "n", "m", F.posexplode(ahead).alias("_k", "s"))
+    rows = saved(rows.select("s", "id", "comp", "n", F.floor((F.col("m") - F.col("_k")) * (100 + percent) / percent - F.col("n")).alias("reach")))
+    # Rows that are within reach of no other component of their shingle go, by the least size and the farthest reach of each
+    # component but its own.
+    each = rows.groupBy("s", "comp").agg(F.min("n").alias("_n"), F.max("reach").alias("_r"))
+    ends = each.groupBy("s").agg(F.min(F.struct("_n", "comp")).alias("_least"), F.max(F.struct("_r", "comp")).alias("_far"), F.count(F.lit(1)).alias("_c")).filter("_c >= 2")
+    next_ = each.join(ends, "s").groupBy("s").agg(F.first("_least").alias("_least"), F.first("_far").alias("_far"), F.min(F.when(F.col("comp") != F.col("_least.comp"), F.col("_n"))).alias("_least2"), F.max(F.when(F.col("comp") != F.col("_far.comp"), F.col("_r"))).alias("_far2"))
+    least = F.when(F.col("comp") == F.col("_least.comp"), F.col("_least2")).otherwise(F.col("_least._n"))
+    far = F.when(F.col("comp") == F.col("_far.comp"), F.col("_far2")).otherwise(F.col("_far._r"))
+    fit = saved(rows.join(next_, "s").filter((F.col("reach") >= least) & (F.col("n") <= far)).select("s", "id", "comp", "n", "reach"))
+    x, y = fit.alias("x"), fit.alias("y")
+    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    both = (F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.n") <= F.col("y.reach")) & (F.col("y.n") <= F.col("x.reach")) & (small * 100 >= large * percent)
+    return x.join(y, both).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,57 +210,46 @@ def _judged(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_
     heads = weighed.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("_h")).select("key", F.col("_h.id").alias("rep"), F.col("_h.weight").alias("rep_weight"))
     members = saved(met.drop("_n").join(heads, "key"))
     nodes = members.select("id").distinct()
-    sketch = saved(sets.join(nodes, "id").mapInArrow(_with_planes, "id long, n long, " + ", ".join(f"{p} long" for p in PLANE_NAMES)))
     one = some.groupBy("id").agg(F.min(F.struct("f", "doc_id")).alias("s")).join(nodes, "id").select("id", F.col("s.f").alias("_f"), F.col("s.doc_id").alias("_d"))
-    # The text of one document of each set.
-    texts = saved(narrow.join(one, (F.xxhash64("text") == F.col("_f")) & F.col("doc_id").eqNullSafe(F.col("_d"))).groupBy("id").agg(F.first("text").alias("text")))
-    freed(spark)
-
-    def allowed(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
-        x, y = sketch.alias("x"), sketch.alias("y")
-        fit = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).filter(_possible(percent)).select("a", "b")
-        return saved(fit if tested is None else fit.join(tested, ["a", "b"], "left_anti"))
-
-    def pairs_of(x: str, y: str):
-        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+    # The set of each node, from the text of one of its documents.
+    texts = narrow.join(one, (F.xxhash64("text") == F.col("_f")) & F.col("doc_id").eqNullSafe(F.col("_d"))).groupBy("id").agg(F.first("text").alias("text"))
+    bags = saved(texts.mapInArrow(_bags(shingle), "id long, n long, shingles array<long>"))
 
     tested, links, label = None, None, None
 
-    def linked(pairs: DataFrame) -> bool:
-        """Tests pairs and follows the links; false if there are none to test."""
+    def linked(x: str, y: str, rows: DataFrame) -> bool:
+        """Tests pairs of columns x and y that haven't been tested and follows the links; false if there are none."""
         nonlocal tested, links, label
-        pairs = allowed(pairs, tested)
+        pairs = rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+        pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if label is not None and pairs.isEmpty():
             return False
-        found = confirmed(pairs, texts, shingle, percent)
+        found = confirmed(pairs, bags, percent)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         label = components(links)
         return True
 
-    def named() -> DataFrame:
-        """members with comp."""
-        return members.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    def in_component(rows: DataFrame) -> DataFrame:
+        return rows.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
     # Each document with the weightiest head of its buckets that it isn't connected to yet: a row for each document.
-    linked(members.filter("id <> rep").groupBy("id").agg(F.max(F.struct("rep_weight", "rep")).alias("_h")).select(*pairs_of("id", "_h.rep")).distinct())
+    linked("id", "_h.rep", members.filter("id <> rep").groupBy("id").agg(F.max(F.struct("rep_weight", "rep")).alias("_h")))
     for _ in range(HEADS - 1):
         comps = label.select(F.col("id").alias("rep"), F.col("comp").alias("_c"))
-        apart = named().filter("id <> rep").join(comps, "rep", "left").filter(F.col("comp") != F.coalesce("_c", "rep")).select(*pairs_of("id", "rep"), "id", "rep", "rep_weight")
-        fresh = apart.join(tested, ["a", "b"], "left_anti")
-        if not linked(fresh.groupBy("id").agg(F.max(F.struct("rep_weight", "rep")).alias("_h")).select(*pairs_of("id", "_h.rep")).distinct()):
+        apart = in_component(members.filter("id <> rep")).join(comps, "rep", "left").filter(F.col("comp") != F.coalesce("_c", "rep")).withColumns({"a": F.least("id", "rep"), "b": F.greatest("id", "rep")})
+        if not linked("id", "_h.rep", apart.join(tested, ["a", "b"], "left_anti").groupBy("id").agg(F.max(F.struct("rep_weight", "rep")).alias("_h"))):
             break
-    # Last, all members of different components that share a bucket, if sizes and signatures allow the similarity.
-    left = named().select("key", "id", "comp")
+    # Last, the members of buckets that hold several components.
+    left = in_component(members.select("key", "id"))
     several = left.groupBy("key").agg(F.min("comp").alias("_c"), F.max("comp").alias("_d")).filter("_c <> _d").select("key")
-    full = saved(left.join(several, "key").join(sketch, "id"))
-    x, y = full.alias("x"), full.alias("y")
-    linked(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _possible(percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    named = signed.select("doc_id", "f", "n_shingles", "id").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    apart = left.join(several, "key").groupBy("id").agg(F.first("comp").alias("comp"))
+    linked("a", "b", meeting(bags.join(apart, "id"), percent))
+    named = in_component(signed.select("doc_id", "f", "n_shingles", "id"))
     least = named.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = named.filter("n_shingles > 0").join(least, "comp").select("doc_id", "f", "n_shingles", "comp", "component_id")
+    several = named.filter("n_shingles > 0").join(least, "comp").select("doc_id", "f", "n_shingles", "comp", "component_id")
     alone = named.filter("n_shingles = 0").select("doc_id", "f", "n_shingles", "comp", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return several.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
