@@ -1,17 +1,21 @@
 """Personal data: exact patterns, and a linear-chain conditional random field (CRF) over word shapes that adds spans.
 
 Only words with a digit or an @ may carry a label; all others are tagged O by construction. So the chain of a text falls
-apart, exactly, into runs of such words, and runs of equal length are decoded together by Viterbi in numpy. The CRF is trained
-on the driver from the small labelled table that `labelled_table` makes. What it finds is added where it touches no span of
-the patterns and holds as many digits, parts or a check sum as its kind must have.
+apart, exactly, into runs of such words, and runs of equal length are decoded together by Viterbi in numpy; a word's features
+look at its shape, its neighbours' and the words before it. The CRF is trained on the driver from the small labelled table
+that `labelled_table` makes. What it finds is added where it touches no span of the patterns and has what its kind must have:
+telephone numbers without a +, cards in other groupings, addresses of IP version 6, and a kind of its own, `secret` (keys and
+tokens). Every step takes time in proportion to the text, whatever it holds.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +25,20 @@ from pyspark.sql import functions as F
 from .common import documents, parts, ship
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("O", *KINDS)
+#: The kinds of all spans: the patterns', and what only the CRF finds.
+ALL_KINDS = (*KINDS, "secret")
+LABELS = ("O", *ALL_KINDS)
 FEATURES = 1 << 12
 EXAMPLES = 1200
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+# A match of four numbers starts where digits start: from within a run of digits the same parts would follow.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_MARKED = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_MARKED = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _BETWEEN = re.compile(r"[\x20\x09]{1,2}")
 
@@ -62,11 +69,15 @@ def _emails(text: str):
             at = text.find("@", at + 1)
 
 
+def _four_parts(found: str) -> bool:
+    return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in found.split("."))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind as an index, end), leftmost and non-overlapping for each kind; failing matches are passed over."""
     out = [(a, 0, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if _four_parts(m[0])]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
                 digits = _NOT_DIGIT.sub("", m[0])
@@ -82,34 +93,66 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _RUNS = re.compile(r"(.)\1+")
 _CLASS = {**{c: "x" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "X" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "d" for c in "0123456789"}}
 _SHAPES = str.maketrans(_CLASS)
+_NO_DIGITS = str.maketrans("", "", "0123456789")
 
 
 def shape(word: str) -> str:
     """Letters and digits by class, runs of one class once."""
-    return _RUNS.sub(r"\1", re.sub(r"[^\x00-\x7f]", "x", word[:64]).translate(_SHAPES))
+    return _RUNS.sub(r"\1", re.sub(r"[^\x00-\x7f]", "x", word).translate(_SHAPES))
+
+
+_EDGE = ".,;:!?\"'()[]{}<>*#%&$|"
+_LAST = re.compile(r"[^\x20\x09-\x0D]+")
+_HEX = re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}")
+_CREDENTIAL = re.compile(r"[A-Za-z0-9_+/-]{16,}={0,2}")
+_NAME = re.compile(r"[A-Za-z_]+(?=[\"']?[=:])")
+#: Characters before a run in which the words before it are looked for.
+CONTEXT = 48
+
+
+def _remembered(f):
+    """`f` with the results for short strings kept."""
+    kept = lru_cache(1 << 16)(f)
+    return lambda x: kept(x) if len(x) <= 64 else f(x)
 
 
+@_remembered
 def _slot(feature: str) -> int:
     return zlib.crc32(feature.encode()) % FEATURES
 
 
-def word_features(words: list[str]) -> list[list[int]]:
-    """Hashed features of each word of a run: its shape, its neighbours' shapes in the run, how many digits and parts."""
-    shapes = [shape(w) for w in words]
+@_remembered
+def _alone(word: str) -> tuple[str, str, tuple[int, ...]]:
+    """Shape and bare lower-case form of a word, and the features that its neighbours don't matter for."""
+    own, core = shape(word), word.strip(_EDGE)
+    digits, name = len(word) - len(word.translate(_NO_DIGITS)), _NAME.match(core)
+    parts = f"t:{min(core.count('.'), 9)}{min(core.count('-'), 9)}{'@' in core}{min(core.count(':'), 9)}"
+    long, coded = f"l:{min(len(core) // 4, 16)}:{min(len(own) // 3, 9)}", f"h:{bool(_HEX.fullmatch(core))}{bool(_CREDENTIAL.fullmatch(core))}"
+    return own, core.lower(), tuple(map(_slot, (f"s:{own}", f"c:{shape(core)}", f"d:{min(digits, 20)}", parts, long, coded, f"a:{name[0].lower() if name else ''}", "1")))
+
+
+def word_features(words: list[str], before: str = "") -> list[list[int]]:
+    """Hashed features of each word of a run, `before` being the text before it: its shape and its neighbours' in the run, how
+    many digits, parts and changes of class, and the words before."""
+    alone = [_alone(w) for w in words]
+    names = [x.strip(_EDGE).lower() for x in _LAST.findall(before)[-2:]]
+    names = [*[""] * (2 - len(names)), *names, *[name for _, name, _ in alone]]
     out = []
-    for i, w in enumerate(words):
-        digits = sum(c.isdigit() for c in w)
-        core = w.strip(".,;:!?\"'()[]{}<>*#%&$|")
-        out.append([_slot(f) for f in (f"s:{shapes[i]}", f"c:{shape(core)}", f"p:{shapes[i - 1] if i else '^'}", f"n:{shapes[i + 1] if i + 1 < len(words) else '$'}", f"d:{min(digits, 20)}", f"t:{core.count('.')}{core.count('-')}{'@' in core}", "1")])
+    for i, (own, _, slots) in enumerate(alone):
+        left, right = alone[i - 1][0] if i else "^", alone[i + 1][0] if i + 1 < len(alone) else "$"
+        out.append([*slots, _slot(f"p:{left}"), _slot(f"n:{right}"), _slot(f"w:{names[i + 1]}"), _slot(f"v:{names[i]}:{names[i + 1]}"), _slot(f"b:{own}:{left if i else names[1]}")])
     return out
 
 
-def labelled_table(examples: int = EXAMPLES, seed: int = 9) -> list[tuple[list[str], list[int]]]:
-    """Runs of words with a label each: personal data as people write it, and other words with digits."""
+def labelled_table(examples: int = EXAMPLES, seed: int = 9) -> list[tuple[str, list[str], list[int]]]:
+    """Runs of words with what stands before and a label each: personal data and credentials as people write them, and other
+    words with digits."""
     rng = np.random.default_rng(seed)
     pick = lambda *options: options[int(rng.integers(len(options)))]
     number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     name = lambda: "".join(pick(*"bcdfglmnprst") + pick(*"aeiou") for _ in range(int(rng.integers(1, 4))))
+    some = lambda alphabet, n: "".join(alphabet[int(k)] for k in rng.integers(0, len(alphabet), n))
+    base64 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
     def card() -> str:
         digits = pick("4", "5", "3") + number(14)
@@ -119,30 +162,44 @@ def labelled_table(examples: int = EXAMPLES, seed: int = 9) -> list[tuple[list[s
         a, b, c = number(3), number(3), number(4)
         return pick([f"+{pick('1', '44', '49', '33')}", f"({a})", f"{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"({a}){b}-{c}"], [f"00{pick('1', '44', '49')}-{a}-{b}-{c}"], [f"{a}.{b}.{c}"])
 
+    def credential() -> str:
+        return pick(some("0123456789abcdef", int(rng.integers(16, 65))), some(base64, int(rng.integers(20, 50))), "AKIA" + some(base64[26:], 16), "ghp_" + some(base64, 36), "sk-" + some(base64, 40), some("0123456789ABCDEF", 40))
+
     def other() -> list[str]:
-        return pick([f"{rng.integers(1800, 2100)}"], [f"{rng.integers(1, 99)}.{number(2)}"], [f"{rng.integers(1, 24)}:{number(2)}"], [f"20{number(2)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}"], [f"v{rng.integers(1, 9)}.{rng.integers(0, 20)}.{rng.integers(0, 20)}"], [f"#{number(5)}"], [f"@{name()}"], [f"{number(int(rng.integers(1, 12)))}"], [f"{rng.integers(1, 999)},{number(3)}"], [f"{name()}{number(2)}"], [f"\"{number(6)}{name()}{number(4)}\""], [number(3), number(4)], [f"{rng.integers(1, 99)}-{rng.integers(1, 99)}"], [f"${number(3)}.{number(2)}"], [f"({number(4)})"], [f"{number(2)}%"])
+        return pick([f"{rng.integers(1800, 2100)}"], [f"{rng.integers(1, 99)}.{number(2)}"], [f"{rng.integers(1, 24)}:{number(2)}"], [f"20{number(2)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}"], [f"v{rng.integers(1, 9)}.{rng.integers(0, 20)}.{rng.integers(0, 20)}"], [f"#{number(5)}"], [f"@{name()}"], [f"{number(int(rng.integers(1, 19)))}"], [f"{rng.integers(1, 999)},{number(3)}"], [f"{name()}{number(2)}"], [f"\"{number(6)}{name()}{number(4)}\""], [number(3), number(4)], [f"{rng.integers(1, 99)}-{rng.integers(1, 99)}"], [f"${number(3)}.{number(2)}"], [f"({number(4)})"], [f"{number(2)}%"], [f"{rng.integers(1, 24)}:{number(2)}:{number(2)}"], [f"https://{name()}.org/{name()}/{number(4)}"], [f"{name()}_{number(3)}.txt"])
 
     out = []
+    secret_names = ("token", "key", "secret", "password", "passwd", "api_key", "apikey", "access_key", "secret_key", "auth_token", "bearer", "credential")
     for _ in range(examples):
+        before = " ".join(name() for _ in range(2))
         words: list[str] = []
         labels: list[int] = []
         for _ in range(int(rng.integers(1, 3))):
-            kind = pick(0, 0, 0, 0, 1, 2, 3, 4)
+            kind = pick(0, 0, 0, 0, 0, 1, 2, 3, 4, 5, 5)
             made = other()
-            if kind == 1:
+            if kind == 0 and not words and rng.random() < 0.25:  # digests and names of things look like credentials
+                before, made = f"{name()} {pick('commit', 'sha256', 'md5', 'checksum', 'build', 'revision', 'file', 'id', name())}", [pick(some("0123456789abcdef", int(rng.integers(16, 65))), "-".join(some("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)))]
+            elif kind == 1:
                 made = [f"{name()}{pick('', '.', '_')}{number(pick(0, 2))}@{name()}{pick('.', '-')}{name()}.{pick('com', 'org', 'de', 'example')}"]
             elif kind == 2:
-                made = [".".join(str(rng.integers(0, 256)) for _ in range(4)) + pick("", "", f":{number(4)}")]
+                made = [pick(".".join(str(rng.integers(0, 256)) for _ in range(4)) + pick("", "", f":{number(4)}"), ":".join(some("0123456789abcdef", int(rng.integers(1, 5))) for _ in range(8)), f"2001:db8:{some('0123456789abcdef', 4)}::{some('0123456789abcdef', 2)}", f"fe80::{some('0123456789abcdef', 4)}:{some('0123456789abcdef', 4)}")]
             elif kind == 3:
                 digits, sign = card(), pick("", " ", "-", ".")
                 made = sign.join(digits[i : i + 4] for i in range(0, 16, 4)).split(" ") if sign else [digits]
             elif kind == 4:
                 made = phone()
-            if rng.random() < 0.25:
-                made = [*made[:-1], made[-1] + pick(".", ",", ";", ")", "!")]
+            elif kind == 5:
+                title, quote = pick(*secret_names), pick("", '"', "'")
+                title = pick(title, title.upper(), title.capitalize())
+                if words or rng.random() < 0.4:
+                    made = [f"{title}{pick('=', ':', '=')}{quote}{credential()}{quote}"]
+                else:
+                    before, made = f"{name()} {title}{pick(' =', ' :', ':', ' is')}", [f"{quote}{credential()}{quote}"]
+            if rng.random() < 0.3:
+                made = [*made[:-1], made[-1] + pick(".", ",", ";", ")", "!", "!!", "###", "$$$", "|")]
             words += made
             labels += [kind] * len(made)
-        out.append((words, labels))
+        out.append((before, words, labels))
     return out
 
 
@@ -172,11 +229,11 @@ class Field:
             out[:, t] = back[t][np.arange(len(batch)), out[:, t + 1]]
         return out
 
-    def fit(self, table: list[tuple[list[str], list[int]]], rounds: int = 60, rate: float = 0.1, decay: float = 1e-4) -> "Field":
+    def fit(self, table: list[tuple[str, list[str], list[int]]], rounds: int = 60, rate: float = 0.1, decay: float = 1e-4) -> "Field":
         """Adam on the log-likelihood; expectations by the forward-backward recursion over sequences of equal length."""
         groups = defaultdict(list)
-        for words, labels in table:
-            groups[len(words)].append((word_features(words), labels))
+        for before, words, labels in table:
+            groups[len(words)].append((word_features(words, before), labels))
         groups = {n: (np.array([f for f, _ in rows]), np.array([y for _, y in rows])) for n, rows in groups.items()}
         total = sum(len(y) for _, y in groups.values())
         params = (self.emit, self.pair, self.begin, self.end)
@@ -212,16 +269,42 @@ class Field:
         return self
 
 
-def _holds(kind: int, found: str) -> bool:
-    """Whether a span has what its kind must have."""
-    digits = _NOT_DIGIT.sub("", found)
+def _address(found: str) -> bool:
+    if found.count(":") < 2 or len(found) > 45:
+        return False
+    try:
+        return ipaddress.ip_address(found).version == 6
+    except ValueError:
+        return False
+
+
+def _held(kind: int, text: str, a: int, b: int) -> tuple[int, int] | None:
+    """The part of text[a:b] that has what its kind must have, if any."""
+    while a < b and text[a] in _MARKS:
+        a += 1
+    while b > a and text[b - 1] in _MARKS:
+        b -= 1
+    found = text[a:b]
     if kind == 0:
-        return found.count("@") == 1 and found.index("@") > 0 and "." in found[found.index("@") :]
-    if kind == 1:
-        return bool(_IP.fullmatch(found.split(":")[0])) and all(int(p) <= 255 for p in found.split(":")[0].split("."))
-    if kind == 2:
-        return 12 <= len(digits) <= 19 and luhn(digits)
-    return 9 <= len(digits) <= 15 and any(c in found for c in "()-.") and not re.search(r"[A-Za-z]", found)
+        at = found.find("@")
+        good = at > 0 and found.count("@") == 1 and "." in found[at:]
+    elif kind == 1:
+        good = _address(found) or bool(_IP.fullmatch(found.split(":")[0])) and _four_parts(found.split(":")[0])
+    elif kind == 2:
+        digits = _NOT_DIGIT.sub("", found)
+        good = 12 <= len(digits) <= 19 and luhn(digits)
+    elif kind == 3:
+        good = 9 <= len(_NOT_DIGIT.sub("", found)) <= 15 and any(c in found for c in "()-.") and not re.search(r"[A-Za-z]", found)
+    else:
+        inner = max(_CREDENTIAL.finditer(found), key=lambda m: m.end() - m.start(), default=None)
+        good = inner is not None and bool(_DIGIT.search(inner[0])) and bool(re.search(r"[A-Za-z]", inner[0]))
+        if good:
+            a, b = a + inner.start(), a + inner.end()
+    return (a, b) if good else None
+
+
+#: What is trimmed at the ends of a span.
+_MARKS = ".,;:!?\"'[]{}<>*#%&$|"
 
 
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field: Field) -> list[list[tuple[int, int, int]]]:
@@ -246,7 +329,7 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
         step = max(1, 20_000 // n)
         for at in range(0, len(rows), step):
             mine = rows[at : at + step]
-            tags = field.viterbi(np.array([word_features([texts[i][a:b] for a, b in run]) for i, run in mine]))
+            tags = field.viterbi(np.array([word_features([texts[i][a:b] for a, b in run], texts[i][max(0, run[0][0] - CONTEXT) : run[0][0]]) for i, run in mine]))
             for (i, run), tag in zip(mine, tags):
                 k = 0
                 while k < n:
@@ -254,23 +337,20 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
                     while j < n and tag[j] == tag[k]:
                         j += 1
                     if tag[k]:
-                        a, b, text = run[k][0], run[j - 1][1], texts[i]
-                        while a < b and text[a] in ".,;:!?\"'[]{}<>*#%&$|":
-                            a += 1
-                        while b > a and text[b - 1] in ".,;:!?\"'[]{}<>*#%&$|":
-                            b -= 1
-                        if a < b and _holds(tag[k] - 1, text[a:b]) and not any(a < e and s < b for s, _, e in base[i]):
-                            out[i].append((a, int(tag[k]) - 1, b))
+                        held = _held(int(tag[k]) - 1, texts[i], run[k][0], run[j - 1][1])
+                        if held and not any(held[0] < e and b < held[1] for b, _, e in base[i]):
+                            out[i].append((held[0], int(tag[k]) - 1, held[1]))
                     k = j
     return out
 
 
 def _written(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    return ",".join(f"{ALL_KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
 def personal_data(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (by the patterns), base_sha256, spans (the patterns' and the CRF's), n_added.
+    """doc_id, n_email, n_ip, n_card, n_phone (by the patterns), base_sha256, spans (the patterns' and the CRF's, whose kinds
+    include `secret`), n_added.
 
     Places are code points of the whole text, ends exclusive. Null and empty texts have no spans (an empty string, and the
     digest of one); rows are judged alone, so repeated rows get equal values; other columns aren't read.
@@ -302,7 +382,7 @@ def masked(docs: DataFrame, field: Field | None = None, text_col: str = "text")
         out, at = [], 0
         for a, k, b in sorted(spans):
             if a >= at:
-                out += [text[at:a], f"[{KINDS[k]}]"]
+                out += [text[at:a], f"[{ALL_KINDS[k]}]"]
             at = max(at, b)
         return "".join([*out, text[at:]])
 
