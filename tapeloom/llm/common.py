@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space of every contract of this package: blank and the five ASCII controls from tab to carriage return.
 WS_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -103,6 +104,20 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The most rows, and bytes of keys, that `looked_up` broadcasts.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 8 << 20
+
+
+def looked_up(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
+    """`rows` joined with `small`, which has one row for each of the string `keys` and is broadcast if counting shows that it
+    is small enough. Else both sides are dealt by key and salt, so that no task gets a hot key whole. `small` is saved."""
+    n, size = small.agg(F.count(F.lit(1)), F.sum(sum((F.octet_length(k) for k in keys), F.lit(0)).cast("long"))).first()
+    if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(small), keys, how)
+    dealt = rows.withColumn("_salt", F.floor(F.rand(1) * salts).cast("int"))
+    return dealt.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "_salt"], how).drop("_salt")
+
+
 def table_of(df: DataFrame, keys, buckets: int) -> DataFrame:
     """`df` as a bucketed table in the warehouse, which all executors share: later joins by its key need not move it again."""
     spark, name = df.sparkSession, f"llm_{uuid.uuid4().hex}"

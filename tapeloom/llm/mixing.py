@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, saved
+from .common import WORD, documents, looked_up, saved
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -57,21 +57,21 @@ def source_plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs:
     def boundary(rows: DataFrame, open_sources: DataFrame) -> DataFrame:
         """Of each source, the bucket in which the cumulated sizes pass the rest, and what stands before it. Sizes are summed
         by bucket before anything meets by source."""
-        grouped = rows.groupBy("_key", "_b").agg(F.sum("_size").alias("_sum")).join(open_sources, "_key")
+        grouped = looked_up(rows.groupBy("_key", "_b").agg(F.sum("_size").alias("_sum")), open_sources, ["_key"])
         up = grouped.withColumn("_upto", F.col("_before") + F.sum("_sum").over(Window.partitionBy("_key").orderBy("_b")))
         at = up.filter((F.col("_upto") > F.col("_rest")) & (F.col("_upto") - F.col("_sum") <= F.col("_rest")))
         return at.groupBy("_key", "_rest").agg(F.min("_b").alias("_b"), F.min_by(F.col("_upto") - F.col("_sum"), "_b").alias("_before"))
 
     top = F.floor(F.col("_luck") / _TOP).cast("long")
     mid = F.floor(F.col("_luck") / _MID).cast("long")
-    first = boundary(sized.select("_key", "_size", top.alias("_b")), plan.filter("_rest > 0").select("_key", "_rest", F.lit(0).cast("long").alias("_before")))
-    within = sized.select("_key", "_size", "_luck", top.alias("_b")).join(first.select("_key", "_b"), ["_key", "_b"])
-    second = boundary(within.select("_key", "_size", mid.alias("_b")), first.select("_key", "_rest", "_before"))
+    first = saved(boundary(sized.select("_key", "_size", top.alias("_b")), plan.filter("_rest > 0").select("_key", "_rest", F.lit(0).cast("long").alias("_before"))))
+    within = saved(looked_up(sized.select("_key", "_size", "_luck", top.alias("_b")), first.select("_key", F.col("_b").alias("_at")), ["_key"]).filter("_b = _at").drop("_at"))
+    second = saved(boundary(within.select("_key", "_size", mid.alias("_b")), first.select("_key", "_rest", "_before")))
     last = within.select("_key", "_size", "_luck", mid.alias("_b")).join(second, ["_key", "_b"]).withColumnsRenamed({"_b": "_b2", "_before": "_before2"})
     single = last.groupBy("_key", "_luck").agg(F.sum("_size").alias("_size"), F.first("_rest").alias("_rest"), F.first("_before2").alias("_before2"), F.first("_b2").alias("_b2"))
     upto = F.col("_before2") + F.sum("_size").over(Window.partitionBy("_key").orderBy("_luck"))
     cut = single.withColumn("_upto", upto).groupBy("_key").agg(F.coalesce(F.max(F.when(F.col("_upto") - F.col("_size") / 2 <= F.col("_rest"), F.col("_luck"))), F.max("_b2") * _MID - 1).alias("cut"))
-    return plan.join(cut, "_key", "left").select("_key", "source_size", "target", "whole", F.coalesce("cut", F.lit(-1)).alias("cut"))
+    return saved(plan.join(cut, "_key", "left")).select("_key", "source_size", "target", "whole", F.coalesce("cut", F.lit(-1)).alias("cut"))
 
 
 def planned(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -83,18 +83,23 @@ def planned(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int =
     target is met to half a document. Null text has size 0; a source without words has target 0; repeated ids share their
     hash and so their fate; an empty table gives an empty mix. Columns of the input with names of the output are replaced.
     """
-    cols = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in cols], n_words(F.col(text_col)).alias("_size"), _key(F.col(source_col)).alias("_key"), _luck(F.col(id_col), seed).alias("_luck"))
-    sized = saved(keyed.select("_key", "_size", "_luck"))
-    plan = source_plan(sized, weights, max_epochs, share)
+    rows = _taken(docs, weights, max_epochs, share, seed, id_col, source_col, text_col)
+    return rows.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "copies")], F.col("_size").alias("size"), "source_size", "target", "copies")
+
+
+def _taken(docs: DataFrame, weights: Sequence[int], max_epochs: int, share: float, seed: str, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """_row (the whole row, so that no name of its columns clashes), _size, source_size, target and copies."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).select("_row", n_words(F.col(f"_row.`{text_col}`")).alias("_size"), _key(F.col(f"_row.`{source_col}`")).alias("_key"), _luck(F.col(f"_row.`{id_col}`"), seed).alias("_luck"))
+    plan = source_plan(saved(keyed.select("_key", "_size", "_luck")), weights, max_epochs, share)
     copies = F.col("whole") + F.when(F.col("_luck") <= F.col("cut"), 1).otherwise(0)
-    return keyed.join(plan, "_key").select(*[F.col(f"`{c}`") for c in cols], F.col("_size").alias("size"), "source_size", "target", copies.cast("int").alias("copies"))
+    return looked_up(keyed, plan, ["_key"]).select("_row", "_size", "source_size", "target", copies.cast("int").alias("copies"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mix, each as often as it is taken, with the columns of `docs`."""
-    rows = planned(docs, **options).filter("copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows of the mix as `planned` plans it, each as often as it is taken, with the columns of `docs`, whatever their
+    names. Rows of no words and of sources without words are as often in it as their source's documents are."""
+    rows = _taken(docs, weights, max_epochs, share, seed, id_col, source_col, text_col).filter("copies > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +107,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = saved(docs.select("doc_id", n_words(F.col("text")).alias("_size"), _key(F.col("source")).alias("_key"), _luck(F.col("doc_id"), SEED).alias("_luck")))
     plan = source_plan(sized)
     taken = F.col("_size") * (F.col("whole") + F.when(F.col("_luck") <= F.col("cut"), 1).otherwise(0))
-    return sized.join(plan, "_key").select("doc_id", F.col("_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"))
+    return looked_up(sized, plan, ["_key"]).select("doc_id", F.col("_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"))
 
 
 OP1_SQL = """
