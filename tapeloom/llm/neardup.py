@@ -265,14 +265,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
 def unique(docs: DataFrame) -> DataFrame:
     """One row of `docs` for each component, of its least doc_id; of texts without shingles one for each doc_id (null is a
-    value of its own)."""
+    value of its own). Its columns, whatever their names, stay."""
     rows = _judged(docs, PERCENT, SHINGLE, "doc_id", "text").filter("kept")
-    keys = lambda i, f: (F.col(i).isNull().alias("_null"), F.coalesce(F.col(i).cast("long"), F.lit(0).cast("long")).alias("_id"), f.alias("_f"))
+    keys = lambda i, f: (i.isNull().alias("null"), F.coalesce(i.cast("long"), F.lit(0).cast("long")).alias("id"), f.alias("f"))
     one = rows.groupBy("comp", F.when(F.col("n_shingles") == 0, F.struct("doc_id")).alias("_alone")).agg(F.min(F.struct("doc_id", "f")).alias("_one")).select("_one.doc_id", "_one.f")
-    chosen = saved(one.select(*keys("doc_id", F.col("f"))))
-    same = ["_null", "_id", "_f"]
-    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.select("*", *keys("doc_id", text)).join(chosen, same).dropDuplicates(same).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = saved(one.select(*keys(F.col("doc_id"), F.col("f"))))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so that no name of its columns clashes
+    keyed = row.select("row", *keys(F.col("row.doc_id"), F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit("")))))
+    same = ["null", "id", "f"]
+    return keyed.join(chosen, same).dropDuplicates(same).select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,11 +129,13 @@ def _sparse(batches):
 
 def trained(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> Machine:
     """A machine from labelled rows whose crc32 of the id, as text, isn't 1 modulo 3; of more than `most`, those least by a
-    hash of the id. Rows without id or label don't count. With labels of one value or none, every score is its share (0.5)."""
+    hash of the id. Of rows with one id, the least text counts, so that no more than `most` texts reach the driver. Rows without
+    id or label don't count. With labels of one value or none, every score is its share (0.5)."""
     ship(docs.sparkSession)
     usable = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("double").alias("label")).filter("doc_id is not null and label is not null and crc32(cast(doc_id as string)) % 3 <> 1")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "label").limit(most)
-    found = _narrow(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", "label")  # broadcast: `most` rows at most
+    labelled = _narrow(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")  # broadcast: `most` rows at most
+    found = labelled.groupBy("doc_id", "label").agg(F.min(F.struct("text", "n_chars")).alias("d")).select("doc_id", "d.text", "d.n_chars", "label")
     rows = found.mapInArrow(_sparse, "feature array<int>, value array<float>, label double").toArrow()
     if not rows.num_rows:
         return Machine(spread=0.0)

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import corpus, table
@@ -244,6 +245,34 @@ def test_mix_meets_targets_and_agrees_with_sql(spark, tmp_path):
     assert all(abs(target - taken) <= 25 for target, taken in by.values())
     assert abs(sum(t for t, _ in by.values()) - sum(r["size"] for r in rows)) < 1e-6
     assert mixing.mixed(df.filter("false")).count() == 0
+    taken = {r.doc_id: r.taken for r in rows}
+    odd = df.select("doc_id", "text", "source", *[F.lit(f"own {c}").alias(c) for c in CLASHING])
+    out = mixing.mixed(odd)
+    assert out.columns == odd.columns
+    got = out.groupBy("doc_id", *CLASHING).agg(F.count(F.lit(1)).alias("times"), F.max(mixing.n_words(F.col("text"))).alias("words")).collect()
+    assert all(r[c] == f"own {c}" for r in got for c in CLASHING)
+    assert {r.doc_id: r.times * r.words for r in got if r.words} == {i: t for i, t in taken.items() if t}
+
+
+#: Extra columns of the input with the names that operators use inside or give their results.
+CLASHING = ["size", "source_size", "target", "copies", "cut", "whole", "_size", "_key", "_luck", "_row", "_id", "_f", "_null", "a", "b", "n", "f", "f1", "f2", "id", "comp", "ids", "score", "spans", "_text", "_lang", "_source", "_x0", "kept"]
+
+
+def test_a_hot_key_is_dealt_over_salts_where_the_other_side_is_too_large_to_broadcast(spark, monkeypatch):
+    from tapeloom.llm import common
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), "id")
+    small = rows.select("k").distinct().withColumn("v", F.length("k"))
+    want = sorted((r.id, r.v) for r in common.looked_up(rows, small, ["k"]).collect())
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    assert sorted((r.id, r.v) for r in common.looked_up(rows, small, ["k"]).collect()) == want
+    assert common.looked_up(rows, small.filter("k <> 'hot'"), ["k"], "left").filter("v is null").count() == 2000
+
+
+def test_verdicts_of_quality_rules_do_not_depend_on_the_layout_of_the_input(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a, b = ({(r.doc_id, r.kept) for r in outliers.judged(docs.repartition(n)).collect()} for n in (1, 7))
+    assert a == b
 
 
 def test_quality_statistics_against_plain_counts(spark):
