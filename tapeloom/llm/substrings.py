@@ -1,8 +1,9 @@
 """Substring dedup over words: a de Bruijn graph whose edges are the windows of `window` words.
 
 Blocks of consecutive edges with a common minimizer (see `repeats`) are the unbranched pieces that a single text shows; equal
-blocks are one piece of the graph. Repeated pieces that always follow each other compact into paths by Spark joins: a piece
-joins the next one of a text if both and their pair occur equally often. Where paths branch, single edges are compared.
+blocks are one piece of the graph, and where blocks differ single edges are its pieces. Repeated pieces that always follow each
+other compact into paths by Spark joins: a piece joins the next one of a text if both and their pair occur equally often. Each
+path has a source, another place that shows it, and is removed if its words, one by one, are those at the source's coordinates.
 """
 
 from __future__ import annotations
@@ -11,36 +12,23 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _IS_WS, buffers, documents, saved, words
-from .repeats import Windows, covered, distinct_texts, judged, removed, repeated_blocks, repeated_windows
+from .repeats import Windows, covered, distinct_texts, judged, paths, removed, repeated_blocks, repeated_windows, verified
 
 WORDS = 35
 GRAM = 10
 
 
-def paths(pieces: DataFrame) -> DataFrame:
-    """Unbranched repeated paths, with source coordinates: f1, f2, lo, hi (window starts), path (fingerprint of its first
-    piece) and pieces. `pieces`: fully repeated blocks (c, f1, f2, lo, hi, w)."""
-    order = Window.partitionBy("f1", "f2").orderBy("lo")
-    ahead = F.lead(F.struct("lo", "c")).over(order)
-    linked = pieces.select("c", "f1", "f2", "lo", "hi", "w", ahead.alias("_next")).withColumn("_to", F.when(F.col("_next.lo") == F.col("hi") + 1, F.col("_next.c"))).drop("_next")
-    nodes = linked.groupBy("c").agg(F.sum("w").alias("_n"))
-    pairs = linked.filter("_to is not null").groupBy("c", "_to").agg(F.sum("w").alias("_m"))
-    single = pairs.join(nodes, "c").filter("_m = _n").drop("_n").join(nodes.withColumnRenamed("c", "_to"), "_to").filter("_m = _n").select("c", "_to", F.lit(True).alias("_glued"))
-    glued = linked.join(single, ["c", "_to"], "left").withColumn("_glued", F.coalesce("_glued", F.lit(False)))
-    heads = F.sum(F.when(F.coalesce(F.lag("_glued").over(order), F.lit(False)), 0).otherwise(1)).over(order)
-    return glued.withColumn("_run", heads).groupBy("f1", "f2", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min_by("c", "lo").alias("path"), F.count(F.lit(1)).alias("pieces")).drop("_run")
-
-
 def repeated_spans(texts: DataFrame, window: int = WORDS, gram: int = GRAM) -> DataFrame:
     """f1, f2, lo, hi: ranges of window starts whose windows occur elsewhere too, of distinct texts."""
     spec = Windows(window, gram, "word")
     verdict = saved(judged(repeated_blocks(texts, spec)))
-    spans = paths(verdict.filter("full")).select("f1", "f2", "lo", "hi")
-    return spans.unionByName(repeated_windows(texts, verdict.filter("open").select("f1", "f2", "lo", "hi", "w"), spec))
+    pieces = ["c", "f1", "f2", "lo", "hi", "w", "source"]
+    single = repeated_windows(texts, verdict.filter("open").select("f1", "f2", "lo", "hi", "w", "full"), spec)
+    return verified(texts, paths(verdict.filter("full").select(*pieces).unionByName(single.select(*pieces))), spec)
 
 
 def _digest(window: int):

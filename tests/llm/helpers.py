@@ -49,6 +49,20 @@ def windows_removed(texts, unit: str, width: int) -> list[tuple[int, int, str]]:
     return out
 
 
+def spans_removed(texts, width: int) -> list[int]:
+    """How many maximal runs of bytes go from each text."""
+    seqs = [(t or "").encode() for t in texts]
+    count = Counter(q[i : i + width] for q in seqs for i in range(len(q) - width + 1))
+    out = []
+    for q in seqs:
+        gone = ["0"] * len(q)
+        for i in range(len(q) - width + 1):
+            if count[q[i : i + width]] > 1:
+                gone[i : i + width] = ["1"] * width
+        out.append(len(re.findall("1+", "".join(gone))))
+    return out
+
+
 def near_components(texts, percent: int = 75) -> list[tuple[int, int]]:
     """(set size, least id reachable) of each text."""
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})

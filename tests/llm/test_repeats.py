@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
-from helpers import corpus, near_components, table, windows_removed
+from helpers import corpus, near_components, spans_removed, table, windows_removed
 
-from tapeloom.llm import neardup, substrings, suffixes
+from tapeloom.llm import neardup, repeats, substrings, suffixes
 
 
 def test_deep_shallow_sorts_and_finds_equal_prefixes():
@@ -29,8 +29,10 @@ def test_deep_shallow_sorts_and_finds_equal_prefixes():
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_bytes_against_brute_force(spark, hot):
     texts = corpus()
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in suffixes.removed_bytes(table(spark, texts), hot=hot).collect()}
+    rows = suffixes.removed_bytes(table(spark, texts), hot=hot).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in rows}
     assert [got[i] for i in range(len(texts))] == windows_removed(texts, "byte", 200)
+    assert {r.doc_id: r.n_spans for r in rows} == dict(enumerate(spans_removed(texts, 200)))
 
 
 def test_words_against_brute_force(spark):
@@ -40,11 +42,23 @@ def test_words_against_brute_force(spark):
 
 
 def test_paths_glue_pieces_that_always_follow_each_other(spark):
-    rows = [(c, f, 0, lo, lo + 9, 1) for f in (1, 2) for c, lo in ((10, 0), (11, 10), (12, 20), (13, 30))] + [(11, 3, 0, 50, 59, 1)]
-    pieces = spark.createDataFrame(rows, "c long, f1 long, f2 long, lo int, hi int, w int")
-    got = {(r.f1, r.lo, r.hi, r.pieces) for r in substrings.paths(pieces).collect()}
+    rows = [(c, f, 0, lo, lo + 9, 1, (3 - f, 0, lo)) for f in (1, 2) for c, lo in ((10, 0), (11, 10), (12, 20), (13, 30))] + [(11, 3, 0, 50, 59, 1, (1, 0, 10))]
+    pieces = spark.createDataFrame(rows, "c long, f1 long, f2 long, lo int, hi int, w int, source struct<f1:long,f2:long,lo:int>")
+    got = {(r.f1, r.lo, r.hi, r.pieces, r.source.f1, r.source.lo) for r in repeats.paths(pieces).collect()}
     # 11 occurs once more than its neighbours, so the path branches there; 12 and 13 are one.
-    assert got == {(1, 0, 9, 1), (1, 10, 19, 1), (1, 20, 39, 2), (2, 0, 9, 1), (2, 10, 19, 1), (2, 20, 39, 2), (3, 50, 59, 1)}
+    assert got == {(1, 0, 9, 1, 2, 0), (1, 10, 19, 1, 2, 10), (1, 20, 39, 2, 2, 20), (2, 0, 9, 1, 1, 0), (2, 10, 19, 1, 1, 10), (2, 20, 39, 2, 1, 20), (3, 50, 59, 1, 1, 10)}
+
+
+@pytest.mark.parametrize("unit, spec", [("word", repeats.Windows(4, 2, "word")), ("byte", repeats.Windows(12, 4, "byte"))])
+def test_spans_are_held_against_their_source(spark, unit, spec):
+    """A span whose fingerprints would agree by chance stays: only equal units count, at the coordinates that are named."""
+    texts = spark.createDataFrame([(1, 0, "x a b  c\td e f "), (2, 0, "a b c d e g"), (3, 0, "a b")], "f1 long, f2 long, text string")
+    span = lambda f, lo, hi, s, slo: (f, 0, lo, hi, (s, 0, slo))
+    words = [span(1, 1, 2, 2, 0), span(1, 1, 3, 2, 0), span(2, 0, 1, 1, 0), span(2, 0, 1, 1, 2), span(2, 1, 1, 3, 0), span(2, 2, 2, 2, 2)]
+    chars = [span(2, 0, 0, 1, 2), span(1, 2, 2, 2, 0)]
+    spans = spark.createDataFrame(words if unit == "word" else chars, "f1 long, f2 long, lo int, hi int, source struct<f1:long,f2:long,lo:int>")
+    got = sorted(tuple(r) for r in repeats.verified(texts, spans, spec).collect())
+    assert got == ([(1, 0, 1, 2), (2, 0, 2, 2)] if unit == "word" else [])
 
 
 def test_near_duplicates_against_brute_force(spark):
