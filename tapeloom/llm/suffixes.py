@@ -1,9 +1,11 @@
 """Substring dedup over bytes: suffix sorting of the stretches that may repeat, by deep-shallow sorting.
 
-`repeats` finds the blocks of window starts whose content may occur again. Their stretches of text are gathered by minimizer
-and their suffixes sorted: multikey quicksort on 8 bytes a time down to a shallow depth, then blind tries for the groups that
-are still together. Suffixes that agree on a whole window are neighbours then. A minimizer with more than `HOT` contents
-isn't gathered in a task; its windows are counted by their fingerprints over all partitions.
+`repeats` finds the blocks of window starts whose content may occur again. Where the blocks of a minimizer differ, their
+stretches of text are gathered, each content once, and their suffixes sorted: multikey quicksort on 8 bytes a time down to a
+shallow depth, then blind tries for the groups that are still together. Suffixes that agree on a whole window are neighbours
+then. The suffixes of a minimizer with very many contents are dealt over several tasks, equal windows to the same one, and
+sorted there. Blocks that occur again as a whole, the only content of their minimizer, need no sorting; their bytes are
+compared with those of another place.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, documents, parts, saved
-from .repeats import PART_BYTES, Windows, covered, distinct_texts, judged, removed, repeated_blocks, repeated_windows
+from .common import BYTE_CODES, U64, Rolling, buffers, documents, parts, saved
+from .repeats import PART_BYTES, Windows, covered, distinct_texts, judged, paths, removed, repeated_blocks, verified
 
 BYTES = 200
 GRAM = 40
 SHALLOW = 32
-#: Contents of one minimizer that a task sorts in memory: about 6 MB of text and 1.6 million suffixes.
+#: Contents of one minimizer whose suffixes are sorted as one group: about 6 MB of text and 1.6 million suffixes. Those of a
+#: minimizer with more are dealt over groups of a sixteenth of as many suffixes, as each then carries its own bytes.
 HOT = 20_000
 
 
@@ -105,28 +108,42 @@ def _contexts(window: int):
                 owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
                 items = lists.flatten()
                 a = items.field("a")
-                lo, hi = (items.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("lo", "hi"))
+                lo, hi, anchor, split = (items.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("lo", "hi", "anchor", "split"))
+                many = np.where(split > 1, hi - lo + 1, 1)  # of a block whose minimizer is split, each window stands alone
+                of = np.repeat(np.arange(len(lo)), many)
+                ahead = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                owner, alone = owner[of], split[of] > 1
+                lo, anchor, hi = lo[of] + ahead, anchor[of] - ahead, np.where(alone, lo[of] + ahead, hi[of])
                 begin, end = offsets[owner] + lo, offsets[owner] + hi + window
+                group = np.zeros(len(of), np.int64)
+                group[alone] = (Rolling(BYTE_CODES[data])(begin[alone], end[alone]) % split[of][alone].astype(U64)).astype(np.int64)
                 size = end - begin
                 stop = np.cumsum(size)
                 take = np.repeat(begin - (stop - size), size) + np.arange(size.sum())
-                body = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], stop]).astype(np.int32).tobytes()), pa.py_buffer(data[take].tobytes())])
-                yield pa.RecordBatch.from_arrays([a, pa.array(part.column(0).to_numpy(zero_copy_only=False)[owner]), pa.array(part.column(1).to_numpy(zero_copy_only=False)[owner]), items.field("lo"), items.field("anchor"), items.field("w"), body], ["a", "f1", "f2", "lo", "anchor", "w", "body"])
+                body = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], stop]).astype(np.int64).tobytes()), pa.py_buffer(data[take].tobytes())]).cast(pa.binary())
+                f1, f2 = (part.column(i).to_numpy(zero_copy_only=False)[owner] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([a.take(pa.array(of)), pa.array(group.astype(np.int32)), pa.array(f1), pa.array(f2), pa.array(lo.astype(np.int32)), pa.array(anchor.astype(np.int32)), items.field("w").take(pa.array(of)), body], ["a", "part", "f1", "f2", "lo", "anchor", "w", "body"])
 
     return run
 
 
+def _begins(table: pa.Table) -> np.ndarray:
+    """Whether each row begins a group."""
+    a, part = (table.column(k).to_numpy() for k in ("a", "part"))
+    return np.concatenate([[True], (a[1:] != a[:-1]) | (part[1:] != part[:-1])])
+
+
 def _sorted_groups(window: int):
-    """From contexts sorted by `a`: ranges of window starts that occur twice."""
+    """From contexts sorted by `a` and `part`: ranges of window starts that occur twice."""
 
     def repeated(table: pa.Table):
         data, offsets = _bytes(table.column("body"))
-        a, f1, f2, lo, anchor, w = (table.column(k).to_numpy() for k in ("a", "f1", "f2", "lo", "anchor", "w"))
+        f1, f2, lo, anchor, w = (table.column(k).to_numpy() for k in ("f1", "f2", "lo", "anchor", "w"))
         many = np.diff(offsets) - window + 1
-        owner = np.repeat(np.arange(len(a)), many)
+        owner = np.repeat(np.arange(len(f1)), many)
         within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         # Equal windows have their minimizer at the same place, so suffixes are sorted for each place of it apart.
-        group = np.cumsum(np.concatenate([[0], a[1:] != a[:-1]]))
+        group = np.cumsum(_begins(table)) - 1
         seg = group[owner] * (1 << 20) + (anchor[owner] - within)
         order, same = deep_shallow(data, offsets[owner] + within, seg, window)
         classes = np.cumsum(~same) - 1
@@ -148,8 +165,7 @@ def _sorted_groups(window: int):
                 if size < 2 * PART_BYTES:
                     continue
                 table = pa.Table.from_batches(held)
-                a = table.column("a").to_numpy()
-                whole = int(np.searchsorted(a, a[-1]))  # the last group may go on
+                whole = int(np.flatnonzero(_begins(table))[-1])  # the last group may go on
                 if whole:
                     yield repeated(table.slice(0, whole))
                 held, size = table.slice(whole).combine_chunks().to_batches(), table.slice(whole).nbytes
@@ -168,21 +184,19 @@ def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sorted_windows(texts: DataFrame, open_blocks: DataFrame, window: int = BYTES) -> DataFrame:
-    """Ranges of window starts (f1, f2, lo, hi) in `open_blocks` (a, f1, f2, lo, hi, anchor, w) that occur twice there."""
-    lists = open_blocks.groupBy("f1", "f2").agg(F.collect_list(F.struct("a", "lo", "hi", "anchor", "w")).alias("open"))
-    contexts = texts.select("f1", "f2", "text").join(lists, ["f1", "f2"]).mapInArrow(_contexts(window), "a long, f1 long, f2 long, lo int, anchor int, w int, body binary")
-    return contexts.repartition("a").sortWithinPartitions("a").mapInArrow(_sorted_groups(window), "f1 long, f2 long, lo int, hi int")
+    """Ranges of window starts (f1, f2, lo, hi) in `open_blocks` (a, f1, f2, lo, hi, anchor, w, split) that occur twice there."""
+    lists = open_blocks.groupBy("f1", "f2").agg(F.collect_list(F.struct("a", "lo", "hi", "anchor", "w", "split")).alias("open"))
+    contexts = texts.select("f1", "f2", "text").join(lists, ["f1", "f2"]).mapInArrow(_contexts(window), "a long, part int, f1 long, f2 long, lo int, anchor int, w int, body binary")
+    return contexts.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(_sorted_groups(window), "f1 long, f2 long, lo int, hi int")
 
 
 def repeated_spans(texts: DataFrame, window: int = BYTES, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """f1, f2, lo, hi: ranges of window starts whose windows occur elsewhere too, of distinct texts."""
     spec = Windows(window, gram, "byte")
     verdict = saved(judged(repeated_blocks(texts, spec)))
-    spans = verdict.filter("full").select("f1", "f2", "lo", "hi")
-    single = verdict.filter("open")
-    sort = sorted_windows(texts, single.filter(F.col("contents") <= hot).select("a", "f1", "f2", "lo", "hi", "anchor", "w"), window)
-    count = repeated_windows(texts, single.filter(F.col("contents") > hot).select("f1", "f2", "lo", "hi", "w"), spec)
-    return spans.unionByName(sort).unionByName(count)
+    whole = verified(texts, paths(verdict.filter("full").select("c", "f1", "f2", "lo", "hi", "w", "source")), spec)
+    split = F.when(F.col("contents") > hot, F.ceil(16 * F.col("contents") / hot)).otherwise(1).cast("int")
+    return whole.unionByName(sorted_windows(texts, verdict.filter("open").select("a", "f1", "f2", "lo", "hi", "anchor", "w", split.alias("split")), window))
 
 
 def _digest(window: int):
