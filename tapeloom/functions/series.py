@@ -157,7 +157,7 @@ def permutation_entropy(price: np.ndarray, order: int = 3) -> float:
 
 def _phi(price: np.ndarray, m: int, r: float) -> float:
     n = len(price) - m + 1
-    step = 1 if n <= 300 or n < 300 else 2 if n < 500 else 3 if n < 1000 else 4
+    step = 1 if n <= 300 else 2 if n < 500 else 3 if n < 1000 else 4
     windows = np.lib.stride_tricks.sliding_window_view(price, m)[::step]
     near = sum(int((np.abs(windows[i + 1 :] - windows[i]).max(axis=1) <= r).sum()) for i in range(len(windows) - 1))
     count = _nearest(near * step * step)

@@ -52,15 +52,18 @@ def staleness(bars: DataFrame) -> DataFrame:
 
 
 def plausible(bars: DataFrame) -> DataFrame:
-    """First-tier plausibility of the features of each series."""
+    """First-tier plausibility of the features of each series: no NaN or infinity, bounds, and, where a series has more than 50
+    bars, a correlation of order flow and return that is neither absent nor too good."""
     w = order()
     rows = bars.withColumn("_r", F.col("close") / F.lag("close").over(w) - 1)
     c = F.corr("ofi", "_r")
+    wild = lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
     out = rows.groupBy("symbol", "threshold").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_or(F.isnan("ofi") | F.isnan("kyle_lambda_proxy")).alias("has_nan"), F.bool_and(F.col("ofi").between(-1, 1)).alias("ofi_bounded"),
+        F.count(F.lit(1)).alias("n"), F.bool_or(wild("ofi") | wild("kyle_lambda_proxy")).alias("has_nan"), F.bool_and(F.col("ofi").between(-1, 1)).alias("ofi_bounded"),
         F.avg("ofi").alias("mean_ofi"), F.median("aggression_ratio").alias("median_aggression"), F.min("volume").alias("min_volume"), c.alias("corr_ofi_return"),
     )
-    return out.withColumn("passed", ~F.col("has_nan") & F.col("ofi_bounded") & (F.abs("mean_ofi") < 0.3) & (F.col("median_aggression") < 10) & (F.col("min_volume") >= 0))
+    out = out.withColumn("corr_sane", F.when((F.col("n") > 50) & ~F.isnan("corr_ofi_return"), F.abs("corr_ofi_return").between(0.05, 0.8) & ~F.abs("corr_ofi_return").isin(0.05, 0.8)))
+    return out.withColumn("passed", F.coalesce("corr_sane", F.lit(True)) & ~F.col("has_nan") & F.col("ofi_bounded") & (F.abs("mean_ofi") < 0.3) & (F.col("median_aggression") < 10) & (F.col("min_volume") >= 0))
 
 
 def bad_ohlc(bars: DataFrame) -> DataFrame:

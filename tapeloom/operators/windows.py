@@ -88,8 +88,10 @@ def bar_windows(rows: DataFrame, lookback: Lookback | None = Lookback(), within:
                         first = lookback.start(held[0], end, opened, starts)
                         before = before_bar(*(x[first:end] if i in (0, 3) else x[first:end] / 1e8 for i, x in enumerate(held[:4])), lookback.tier2, lookback.tier3)
                         starts.append(len(held[0]))
-                        keep = min(first, len(held[0]))
-                        if lookback.bars is None and keep > 4096 and keep > len(held[0]) // 2:  # earlier trades can't be asked for again
+                        if lookback.bars is not None:
+                            starts = starts[-lookback.bars :]
+                        keep = min(first if lookback.bars is None else starts[0], len(held[0]))
+                        if keep > 4096 and keep > len(held[0]) // 2:  # earlier trades can't be asked for again
                             held, starts = [x[keep:] for x in held], [s - keep for s in starts]
                     else:
                         held = [x[:0] for x in trade]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,9 +62,9 @@ def to_arrow_files(bars: DataFrame, by: str = "symbol") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keys = batch.column(at).to_pylist()
-            for key in sorted(set(keys)):
-                part = batch.filter(pa.array([k == key for k in keys]))
+            keys = batch.column(at)
+            for key in sorted(keys.unique().drop_null().to_pylist()):
+                part = batch.filter(pc.equal(keys, key))
                 body = io.BytesIO()
                 with pa.ipc.new_stream(body, part.schema) as out:
                     out.write_batch(part)

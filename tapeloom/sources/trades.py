@@ -97,13 +97,14 @@ class TickStore:
     def append(self, trades: DataFrame) -> None:
         rows = trades.dropDuplicates(["symbol", "agg_trade_id"]).withColumn("year_month", F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM"))
         try:
-            there = self.spark.read.parquet(self.path).select("symbol", "agg_trade_id")
+            there = self.spark.read.parquet(self.path).select("symbol", "agg_trade_id", "year_month")
         except Exception as missing:  # the first append
             if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
                 raise
             there = None
-        if there is not None:
-            rows = rows.join(there, ["symbol", "agg_trade_id"], "left_anti")
+        if there is not None:  # a trade stands in the month of its time, so only the months at hand are read
+            first, last = rows.agg(F.min("year_month"), F.max("year_month")).first()
+            rows = rows.join(there.filter(F.col("year_month").between(first, last)).drop("year_month"), ["symbol", "agg_trade_id"], "left_anti")
         rows.repartition("symbol", "year_month").sortWithinPartitions("symbol", "ts_us", "agg_trade_id").write.mode("append").partitionBy("symbol", "year_month").parquet(self.path)
 
     def read(self, symbol: str | None, start_us: int, end_us: int) -> DataFrame:
