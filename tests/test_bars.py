@@ -74,3 +74,21 @@ def test_tables_and_entropy():
     assert N.permutation_entropy(rng.random(4000)) > 0.99
     assert 0 <= N.approximate_entropy(rng.random(600)) <= 1
     assert N.hurst_dfa(np.ones(100)) == 0.5
+
+
+def test_look_back_by_bars_counts_all_trades_of_those_bars(spark):
+    """Long enough that trades which can't be asked for again have been dropped many times; a first bar has no window."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tapeloom.operators import windows as W
+    from tapeloom.plans import catalog
+
+    rows = catalog.ids(spark, "/root/testdata/sf0.1").persist()
+    got = {(r.symbol, r.bar_id): r.lookback_trade_count for r in W.bar_windows(rows, W.Lookback(bars=5, tier2=False, tier3=False), within=False).collect()}
+    each = rows.groupBy("symbol", "bar_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("opened"), F.max("ts_us").alias("closed"))
+    order = Window.partitionBy("symbol").orderBy("bar_id")
+    each = each.withColumn("before", F.sum("n").over(order.rowsBetween(-5, -1))).withColumn("tied", F.lag("closed").over(order) == F.col("opened"))
+    want = {(r.symbol, r.bar_id): r.before for r in each.filter("not coalesce(tied, false)").collect()}
+    rows.unpersist()
+    assert len(want) > 5000 and {k: got[k] for k in want} == want
