@@ -5,6 +5,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import corpus, near_components, spans_removed, table, windows_removed
@@ -80,3 +81,31 @@ def test_components_of_a_long_chain(spark):
     ids = mixed(np.arange(1, 60, dtype=np.uint64)).view(np.int64).tolist()
     edges = spark.createDataFrame(list(zip(ids[:-1], ids[1:])), "a long, b long")
     assert {r.comp for r in neardup.components(edges).collect()} == {min(ids)}
+
+
+def test_near_duplicates_among_many_alike_and_short_texts(spark):
+    """A group whose members are alike, some linked and most not, and short texts: recall against brute force is whole."""
+    import random
+
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(120)]
+    texts: list = [" ".join(base)]
+    for _ in range(90):
+        mine = list(base)
+        for k in rng.sample(range(120), rng.randint(1, 12)):
+            mine[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(mine[: rng.choice([120, 120, 110])]))
+    texts += [" ".join(rng.choice(["a", "b"]) for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    want = near_components(texts)
+    assert 10 < sum(c == i for i, (_, c) in enumerate(want[:91])) < 85  # both linked and unlinked members
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(None, long), (None, long + " z"), (5, long), (5, long), (9, None), (None, None), (None, "alone here"), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.n_shingles, (-1 if r.component_id is None else r.component_id), r.kept) for r in neardup.near_duplicates(docs).collect())
+    assert got == [(-1, 0, -1, True), (-1, 1, -1, True), (-1, 46, 5, False), (-1, 47, 5, False), (3, 0, 3, True), (5, 46, 5, True), (5, 46, 5, True), (9, 0, 9, True)]
+    assert neardup.near_duplicates(docs.withColumn("text", F.lit(None).cast("string"))).filter("n_shingles <> 0").count() == 0
