@@ -1,7 +1,8 @@
-"""The entry point for bars of one symbol, and the registry of symbols that guards it."""
+"""The entry point for bars of symbols, and the registry of symbols that guards it."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -34,10 +35,10 @@ class Registry:
         return joined.filter(keep).select(*rows.columns)
 
 
-def get_bars(trades: DataFrame, symbol: str, start_us: int | None = None, end_us: int | None = None, threshold: int | str = 250, segment: str | None = None, include_incomplete: bool = False, features: bool = True) -> DataFrame:
-    """Bars of one symbol between two times, lazily."""
+def get_bars(trades: DataFrame, symbol: str | Sequence[str] | None, start_us: int | None = None, end_us: int | None = None, threshold: int | str = 250, segment: str | None = None, include_incomplete: bool = False, features: bool = True) -> DataFrame:
+    """Bars of one symbol, of several, or of all (None) between two times, lazily."""
     limit = PRESETS[threshold] if isinstance(threshold, str) else threshold
-    rows = trades.filter(F.col("symbol") == symbol)
+    rows = trades if symbol is None else trades.filter(F.col("symbol").isin([symbol] if isinstance(symbol, str) else list(symbol)))
     if start_us is not None:
         rows = rows.filter(F.col("ts_us") >= start_us)
     if end_us is not None:

@@ -133,14 +133,6 @@ def after_cost(rows: DataFrame, by: list, cost_bps: float) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("ret").alias("n"), (F.avg("ret") * 10_000 - cost_bps).alias("net_bps"), F.avg((F.abs("ret") * 10_000 > cost_bps).cast("int")).alias("share_over_cost"))
 
 
-def walk_forward(rows: DataFrame, fold_bars: int, folds: tuple) -> DataFrame:
-    """Mean return after rising bars, before each fold and in it."""
-    fold = F.floor(F.col("bar_id") / fold_bars)
-    each = rows.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds])))
-    up = F.col("direction") == "U"
-    return each.groupBy("symbol", "fold").agg(F.avg(F.when(up & (fold < F.col("fold")), F.col("ret"))).alias("train"), F.avg(F.when(up & (fold == F.col("fold")), F.col("ret"))).alias("test"))
-
-
 def momentum_walk_forward(rows: DataFrame, train_bars: int, test_bars: int, least: int = 20, k_end: int = 5, over: float = 0.05) -> DataFrame:
     """Of each fold to the end of the series: P(reverse|K=1) - P(reverse|K=k_end) of rising runs in the train_bars before it and
     in its test_bars, whether the first is over `over` and the second over 0. Runs are cut at the edges of both windows. As many

@@ -153,11 +153,11 @@ def _(s, d):
     return price_hash(trades(s, d)).select("symbol", "n")
 
 
-@query("rb_api", f"SELECT {KEYS}, open, close FROM bars WHERE symbol = 'click' AND open_time >= (SELECT min(ts_us) FROM trades)", "open close", PLAIN)
+@query("rb_api", f"SELECT {KEYS}, open, close FROM bars", "open close", PLAIN)
 def _(s, d):
     from ..api import get_bars
 
-    return get_bars(trades(s, d), "click", threshold=250).select(*KEYS.split(", "), "open", "close")
+    return get_bars(trades(s, d), None, threshold="standard").select(*KEYS.split(", "), "open", "close")
 
 
 @query("rb_populate", "SELECT symbol, threshold, segment, count(*) AS n_bars, sum(agg_record_count)::BIGINT AS n_trades FROM allbars GROUP BY ALL", "", O.bars(segment="month"))

@@ -224,14 +224,11 @@ def _(s, d):
     return J.within_ranges(bars(s, d).select("symbol", "bar_id", "open_time"), known, "open_time", "start_us", "end_us", ["symbol"]).select(*ID, "reason")
 
 
-@query("jn_nearest_event", "SELECT b.symbol, b.bar_id, arg_min(t.agg_trade_id, (abs(t.ts_us - b.close_time), t.agg_trade_id)) AS nearest FROM (SELECT * FROM bars WHERE bar_id % 20 = 0) b JOIN (SELECT * FROM trades WHERE agg_trade_id % 50 = 0) t ON t.symbol = b.symbol GROUP BY ALL", "", PLAIN)
-def _(s, d):
-    breaks, marks = bars(s, d).filter("bar_id % 20 = 0").select("symbol", "bar_id", "close_time"), trades(s, d).filter("agg_trade_id % 50 = 0").select("symbol", "ts_us", F.col("agg_trade_id").alias("event"))
-    return A.nearest(breaks, marks, "close_time", "ts_us", ["symbol"], "event").select(*ID, F.col("event").alias("nearest"))
+_MARKS = "marks AS (SELECT symbol, ts_us, min(agg_trade_id) AS id FROM trades GROUP BY ALL)"
+_SIDES = "sides AS (SELECT b.symbol, b.bar_id, b.close_time, x.id AS back, b.close_time - x.ts_us AS before, y.id AS ahead, y.ts_us - b.close_time AS after FROM bars b ASOF LEFT JOIN marks x ON x.symbol = b.symbol AND x.ts_us <= b.close_time ASOF LEFT JOIN marks y ON y.symbol = b.symbol AND y.ts_us >= b.close_time)"
 
 
-#: All bars and all trades; the SQL of jn_nearest_event joins all pairs, and so states a part of them.
-@query("jn_nearest_event_all")
+@query("jn_nearest_event", "SELECT symbol, bar_id, CASE WHEN ahead IS NULL OR before < after THEN back WHEN back IS NULL OR after < before THEN ahead ELSE least(back, ahead) END AS nearest FROM sides", "", f"{PLAIN}, {_MARKS}, {_SIDES}")
 def _(s, d):
     marks = trades(s, d).select("symbol", "ts_us", F.col("agg_trade_id").alias("event"))
     return A.nearest(bars(s, d).select("symbol", "bar_id", "close_time"), marks, "close_time", "ts_us", ["symbol"], "event").select(*ID, F.col("event").alias("nearest"))
@@ -510,13 +507,15 @@ def _(s, d):
     return A.after_cost(patterned(s, d).filter("p2 is not null and ret is not null"), ["symbol", F.col("p2").alias("pattern")], 2.0)
 
 
-@query("st_wfo", "SELECT symbol, fold, avg(ret) FILTER (bar_id // 40 < fold AND direction = 'U') AS train, avg(ret) FILTER (bar_id // 40 = fold AND direction = 'U') AS test FROM dir, (SELECT unnest([1, 2, 3]) AS fold) GROUP BY ALL", "train test", f"{PLAIN}, {_DIR}")
-def _(s, d):
-    return A.walk_forward(directed(s, d), 40, (1, 2, 3))
+_FOLDS = """placed AS (SELECT *, max(i) FILTER (fresh) OVER (PARTITION BY symbol ORDER BY i) AS run_from FROM (SELECT symbol, threshold, direction, row_number() OVER w - 1 AS i, coalesce(lag(direction) OVER w <> direction, true) AS fresh FROM dir WINDOW w AS (PARTITION BY symbol ORDER BY bar_id))),
+folds AS (SELECT symbol, threshold, unnest(range((n - 160) // 40)) AS fold FROM (SELECT symbol, threshold, count(*) AS n FROM dir GROUP BY ALL HAVING count(*) >= 200)),
+places AS (SELECT f.*, p.i >= fold * 40 + 160 AS test, p.i - greatest(p.run_from, CASE WHEN p.i >= fold * 40 + 160 THEN fold * 40 + 160 ELSE fold * 40 END) + 1 AS place FROM folds f LEFT JOIN placed p ON p.symbol = f.symbol AND p.direction = 'U' AND p.i >= fold * 40 AND p.i < fold * 40 + 200),
+reached AS (SELECT symbol, threshold, fold, test, count(*) FILTER (place = 1) AS k1, count(*) FILTER (place = 2) AS k2, count(*) FILTER (place = 5) AS k5, count(*) FILTER (place = 6) AS k6 FROM places GROUP BY ALL),
+deltas AS (SELECT symbol, threshold, fold, max(CASE WHEN k1 >= 1 AND k5 >= 1 THEN k6 / k5 - k2 / k1 END) FILTER (NOT test) AS train_delta, max(CASE WHEN k1 >= 1 AND k5 >= 1 THEN k6 / k5 - k2 / k1 END) FILTER (test) AS test_delta FROM reached GROUP BY ALL)"""
 
 
-#: All folds of each series, and the reference's measure; st_wfo keeps what its SQL states.
-@query("st_wfo_momentum")
+#: 160 bars of training, 40 of test and a single run as least sample, as the test tables' series are short.
+@query("st_wfo", "SELECT *, train_delta > 0.05 AS predicted, test_delta > 0 AS actual, (train_delta > 0.05) = (test_delta > 0) AS correct FROM deltas", "train_delta test_delta", f"{PLAIN}, {_DIR}, {_FOLDS}")
 def _(s, d):
     return A.momentum_walk_forward(directed(s, d), 160, 40, least=1)
 
@@ -599,14 +598,11 @@ def _(s, d):
     return trades(s, d).select("agg_trade_id", *C.calendar(F.col("ts_us")))
 
 
-@query("fn_sessions", """SELECT agg_trade_id, isodow(l1) < 6 AND hour(l1) >= 10 AND hour(l1) < 16 AS sydney, isodow(l2) < 6 AND hour(l2) >= 9 AND hour(l2) < 15 AS tokyo, isodow(l3) < 6 AND hour(l3) >= 8 AND hour(l3) < 17 AS london, isodow(l4) < 6 AND hour(l4) >= 10 AND hour(l4) < 16 AS new_york
-FROM (SELECT agg_trade_id, make_timestamp(ts_us) + INTERVAL 11 HOUR AS l1, make_timestamp(ts_us) + INTERVAL 9 HOUR AS l2, make_timestamp(ts_us) AS l3, make_timestamp(ts_us) - INTERVAL 5 HOUR AS l4 FROM trades WHERE month(make_timestamp(ts_us)) IN (1, 2) AND year(make_timestamp(ts_us)) = 2024)""", "", TRADES)
-def _(s, d):
-    inside = trades(s, d).filter("ts_us >= 1704067200000000 and ts_us < 1709251200000000")
-    return inside.select("agg_trade_id", *[c.alias(k) for k, c in C.sessions(F.col("ts_us")).items()])
+_LOCAL = ", ".join(f"make_timestamp(ts_us) AT TIME ZONE 'UTC' AT TIME ZONE '{zone}' AS {name}" for name, (zone, _, _) in C.SESSIONS.items())
+_OPEN = ", ".join(f"isodow({name}) < 6 AND hour({name}) >= {first} AND hour({name}) < {end} AS {name}" for name, (_, first, end) in C.SESSIONS.items())
 
 
-@query("fn_sessions_all")
+@query("fn_sessions", f"SELECT agg_trade_id, {_OPEN} FROM (SELECT agg_trade_id, {_LOCAL} FROM trades)", "", TRADES)
 def _(s, d):
     return trades(s, d).select("agg_trade_id", *[c.alias(k) for k, c in C.sessions(F.col("ts_us")).items()])
 
@@ -743,37 +739,10 @@ def _(s, d):
 # ---------------------------------------------------------------- sources and sinks
 
 
-def _csv(s, d):
-    path = shared(s, "trades-csv")
-    t = trades(s, d).filter("symbol = 'click'")
-    t.select("agg_trade_id", C.formatted(F.col("price_fp")).alias("p"), C.formatted(F.col("volume_fp")).alias("q"), "first_trade_id", "last_trade_id", "ts_us", F.when(F.col("is_buyer_maker"), "True").otherwise("False").alias("m")).write.option("header", True).csv(path)
-    return T.read_csv(s, path, "click")
-
-
 _T_COLS = "symbol, agg_trade_id, price_fp, volume_fp, first_trade_id, last_trade_id, ts_us, is_buyer_maker"
 
 
-@query("src_trades_csv", f"SELECT {_T_COLS} FROM trades WHERE symbol = 'click'", "", TRADES)
-def _(s, d):
-    return _csv(s, d).select(*_T_COLS.split(", "))
-
-
-@query("src_trades_json", f"SELECT {_T_COLS} FROM trades WHERE symbol = 'click'", "", TRADES)
-def _(s, d):
-    t = trades(s, d).filter("symbol = 'click'").select(F.to_json(F.struct(F.col("agg_trade_id").alias("a"), C.formatted(F.col("price_fp")).alias("p"), C.formatted(F.col("volume_fp")).alias("q"), F.col("first_trade_id").alias("f"), F.col("last_trade_id").alias("l"), F.col("ts_us").alias("T"), F.col("is_buyer_maker").alias("m"))).alias("payload"))
-    return T.from_json(t, "payload", "click").select(*_T_COLS.split(", "))
-
-
-@query("src_arrow", "SELECT agg_trade_id, price_fp, volume_fp, ts_us, is_buyer_maker FROM (SELECT agg_trade_id, price_fp, volume_fp, ts_us, false AS is_buyer_maker FROM trades WHERE symbol = 'view')", "", TRADES)
-def _(s, d):
-    t = trades(s, d).filter("symbol = 'view'").select("agg_trade_id", F.col("ts_us").alias("timestamp"), C.formatted(F.col("price_fp")).alias("price"), C.formatted(F.col("volume_fp")).alias("quantity"))
-    return T.canonical(t, "view").select("agg_trade_id", "price_fp", "volume_fp", "ts_us", "is_buyer_maker")
-
-
-# The queries above, src_tick_store, src_parquet_recover and fn_sessions keep what their SQL states; those named _all take all rows.
-
-
-@query("src_trades_csv_all", f"SELECT {_T_COLS} FROM trades", "", TRADES)
+@query("src_trades_csv", f"SELECT {_T_COLS} FROM trades", "", TRADES)
 def _(s, d):
     path = shared(s, "trades-csv")
     t = trades(s, d)
@@ -781,13 +750,13 @@ def _(s, d):
     return T.read_csv(s, path).select(*_T_COLS.split(", "))
 
 
-@query("src_trades_json_all", f"SELECT {_T_COLS} FROM trades", "", TRADES)
+@query("src_trades_json", f"SELECT {_T_COLS} FROM trades", "", TRADES)
 def _(s, d):
     t = trades(s, d).select("symbol", F.to_json(F.struct(F.col("agg_trade_id").alias("a"), C.formatted(F.col("price_fp")).alias("p"), C.formatted(F.col("volume_fp")).alias("q"), F.col("first_trade_id").alias("f"), F.col("last_trade_id").alias("l"), F.col("ts_us").alias("T"), F.col("is_buyer_maker").alias("m"))).alias("payload"))
     return T.from_json(t, "payload", F.col("symbol")).select(*_T_COLS.split(", "))
 
 
-@query("src_arrow_all", "SELECT symbol, agg_trade_id, price_fp, volume_fp, ts_us, false AS is_buyer_maker FROM trades", "", TRADES)
+@query("src_arrow", "SELECT symbol, agg_trade_id, price_fp, volume_fp, ts_us, false AS is_buyer_maker FROM trades", "", TRADES)
 def _(s, d):
     t = trades(s, d).select("symbol", "agg_trade_id", F.col("ts_us").alias("timestamp"), C.formatted(F.col("price_fp")).alias("price"), C.formatted(F.col("volume_fp")).alias("quantity"))
     return T.canonical(t, F.col("symbol")).select("symbol", "agg_trade_id", "price_fp", "volume_fp", "ts_us", "is_buyer_maker")
@@ -814,16 +783,7 @@ def _(s, d):
     return e.groupBy("symbol").agg(F.count_distinct("market").alias("_n")).filter("_n = 3").select("symbol")
 
 
-@query("src_tick_store", "SELECT symbol, count(*) AS n, min(ts_us) AS first, max(ts_us) AS last FROM trades WHERE symbol = 'click' GROUP BY symbol", "", TRADES)
-def _(s, d):
-    store = T.TickStore(s, shared(s, "ticks"))
-    t = trades(s, d)
-    store.append(t.filter("agg_trade_id % 2 = 0"))
-    store.append(t)
-    return store.read("click", 0, 4_000_000_000_000_000).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("first"), F.max("ts_us").alias("last"))
-
-
-@query("src_tick_store_all", "SELECT symbol, count(*) AS n, min(ts_us) AS first, max(ts_us) AS last FROM trades GROUP BY symbol", "", TRADES)
+@query("src_tick_store", "SELECT symbol, count(*) AS n, min(ts_us) AS first, max(ts_us) AS last FROM trades GROUP BY symbol", "", TRADES)
 def _(s, d):
     store = T.TickStore(s, shared(s, "ticks"))
     t = trades(s, d)
@@ -978,12 +938,7 @@ def _(s, d):
     return s.read.format("trade_pages").option("symbol", "btc").option("toId", 2500).load().groupBy("symbol").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min("agg_trade_id").cast("int").alias("first"), F.max("agg_trade_id").cast("int").alias("last"))
 
 
-@query("src_parquet_recover", "SELECT 1 AS files, 1 AS whole")
-def _(s, d):
-    return T.whole_parquet(s, f"{d}/region.parquet").agg(F.count(F.lit(1)).cast("int").alias("files"), F.count_if("ok").cast("int").alias("whole"))
-
-
-@query("src_parquet_recover_all")
+@query("src_parquet_recover")
 def _(s, d):
     return T.whole_parquet(s, f"{d}/*.parquet").agg(F.count(F.lit(1)).cast("int").alias("files"), F.count_if("ok").cast("int").alias("whole"))
 

@@ -55,7 +55,7 @@ def test_walk_forward_reaches_the_last_fold(spark):
 
 def test_walk_forward_query_uses_every_bar(spark):
     bars = {r.symbol: r["count"] for r in catalog.QUERIES["rb_batch"](spark, SF).groupBy("symbol").count().collect()}
-    folds = {r.symbol: r["count"] for r in catalog.QUERIES["st_wfo_momentum"](spark, SF).groupBy("symbol").count().collect()}
+    folds = {r.symbol: r["count"] for r in catalog.QUERIES["st_wfo"](spark, SF).groupBy("symbol").count().collect()}
     assert folds == {s: (n - 160) // 40 for s, n in bars.items() if n >= 200}
 
 
@@ -63,7 +63,7 @@ def test_nearest_event_of_every_bar_among_all_trades(spark):
     from oracle_check import agree
 
     sql = "SELECT b.symbol, b.bar_id, arg_min(t.agg_trade_id, (abs(t.ts_us - b.close_time), t.agg_trade_id)) AS nearest FROM bars b JOIN trades t ON t.symbol = b.symbol GROUP BY ALL"
-    agree(spark, catalog.QUERIES["jn_nearest_event_all"], f"{catalog.PLAIN}\n{sql}", SF)
+    agree(spark, catalog.QUERIES["jn_nearest_event"], f"{catalog.PLAIN}\n{sql}", SF)
 
 
 def test_nearest_of_ties_and_gaps(spark):
@@ -111,7 +111,7 @@ def test_drift_that_needs_more_than_4096_bars_is_found(spark):
     assert 500 < min(found["fast"]) < 550
 
 
-@pytest.mark.parametrize("name", ["src_trades_csv_all", "src_trades_json_all", "src_arrow_all", "src_tick_store_all"])
+@pytest.mark.parametrize("name", ["src_trades_csv", "src_trades_json", "src_arrow", "src_tick_store"])
 def test_sources_pass_every_symbol(spark, name):
     from oracle_check import agree
 
@@ -122,12 +122,12 @@ def test_digests_and_recovery_cover_every_table(spark):
     files = [p for t in Path(SF).glob("*.parquet") for p in ([t] if t.is_file() else t.glob("[!._]*"))]
     got = {r["name"]: (r.length, r.sha256) for r in catalog.QUERIES["src_checksum"](spark, SF).collect()}
     assert len(files) > 1 and got == {str(p.relative_to(SF)): (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in files}
-    assert tuple(catalog.QUERIES["src_parquet_recover_all"](spark, SF).first()) == (len(files), len(files))
+    assert tuple(catalog.QUERIES["src_parquet_recover"](spark, SF).first()) == (len(files), len(files))
 
 
 def test_sessions_of_all_trades_and_in_daylight_saving(spark):
     rows = [(r.agg_trade_id, r.ts_us) for r in catalog.trades(spark, SF).select("agg_trade_id", "ts_us").collect()]
-    got = {r.agg_trade_id: r.asDict() for r in catalog.QUERIES["fn_sessions_all"](spark, SF).collect()}
+    got = {r.agg_trade_id: r.asDict() for r in catalog.QUERIES["fn_sessions"](spark, SF).collect()}
     assert len(got) == len(rows)
     summer = [(-k, 1_720_000_000_000_000 + k * 1_700_000_000) for k in range(1, 500)]
     got |= {r.i: r.asDict() for r in spark.createDataFrame(summer, "i long, ts long").select("i", *[c.alias(k) for k, c in C.sessions(catalog.F.col("ts")).items()]).collect()}
