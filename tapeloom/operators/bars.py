@@ -82,11 +82,15 @@ def _keys(batch: pa.RecordBatch, names: Sequence[str]) -> list[np.ndarray]:
     return [batch.column(batch.schema.names.index(k)).to_numpy(zero_copy_only=False) for k in names]
 
 
-def assigned(trades: DataFrame, thresholds: Sequence[int] = (250,), segment: Column | None = None, gate: bool = True, carry: Sequence[str] | None = None) -> DataFrame:
+def assigned(trades: DataFrame, thresholds: Sequence[int] = (250,), segment: Column | None = None, gate: bool = True, carry: Sequence[str] | None = None, tails: DataFrame | None = None, most_gap_us: int | None = None) -> DataFrame:
     """Trades with threshold, segment, bar_id (from 0 in each symbol, threshold and segment) and closes.
 
     Trades are ordered by (ts_us, agg_trade_id). With `gate` a bar doesn't close at its opening time. `segment` restarts bars;
     without it, all is one segment. `carry`: the columns to take along (all).
+
+    `tails`: the last bar of keys so far (operators.resume), from which they go on; trades that don't come after their key's
+    tail have been counted and are passed over. A forming bar is dropped, and its number taken by the next one, where the first
+    trade comes more than `most_gap_us` after its last.
     """
     ship(trades.sparkSession)
     for t in thresholds:
@@ -95,7 +99,37 @@ def assigned(trades: DataFrame, thresholds: Sequence[int] = (250,), segment: Col
     cols = list(dict.fromkeys(["symbol", "ts_us", "agg_trade_id", "price_fp", *(carry if carry is not None else trades.columns)]))
     segment = F.lit(0).cast("long") if segment is None else segment.cast("long")
     rows = trades.withColumn("segment", segment).select(*cols, "segment", F.explode(F.array(*[F.lit(int(t)) for t in thresholds])).alias("threshold"))
-    rows = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "ts_us", "agg_trade_id")
+    schema = T.StructType([*rows.schema, T.StructField("bar_id", T.LongType()), T.StructField("closes", T.BooleanType())])
+    first = []
+    if tails is not None:
+        known = tails.select(*KEYS, F.col("close_time").alias("ts_us"), F.col("last_agg_trade_id").alias("agg_trade_id"), F.col("open_fp").alias("price_fp"), F.col("bar_id").alias("_bar"), F.col("open_time").alias("_opened"), F.col("is_complete").alias("_done"))
+        rows = rows.withColumns({"_bar": F.lit(-1).cast("long"), "_opened": F.lit(0).cast("long"), "_done": F.lit(False)}).unionByName(known, allowMissingColumns=True)
+        first = [F.desc("_bar")]
+    rows = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, *first, "ts_us", "agg_trade_id")
+
+    def resumed(batches):
+        key, walk, last = None, None, None
+        for batch in batches:
+            keys = _keys(batch, KEYS)
+            price, ts, trade, bar, opened, done = _keys(batch, ["price_fp", "ts_us", "agg_trade_id", "_bar", "_opened", "_done"])
+            ids, closes, keep = np.zeros(len(ts), np.int64), np.zeros(len(ts), bool), np.zeros(len(ts), bool)
+            bounds = runs(*keys)
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                now = tuple(k[a] for k in keys)
+                if now != key:
+                    key, walk, last = now, Walk(int(now[1]), gate), None
+                    if bar[a] >= 0:
+                        walk = Walk(int(now[1]), gate, int(bar[a]), None if done[a] else int(price[a]), int(opened[a]))
+                        last, a = (ts[a], trade[a]), a + 1
+                if last is not None:
+                    a += int(((ts[a:b] < last[0]) | ((ts[a:b] == last[0]) & (trade[a:b] <= last[1]))).sum())
+                    if a < b:
+                        if most_gap_us is not None and walk.open_price is not None and ts[a] - last[0] > most_gap_us:
+                            walk.bar, walk.open_price = walk.bar - 1, None
+                        last = None
+                keep[a:b] = True
+                ids[a:b], closes[a:b] = walk.take(price[a:b], ts[a:b])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in schema.names[:-2]], pa.array(ids), pa.array(closes)], schema.names).filter(pa.array(keep))
 
     def run(batches):
         key, walk = None, None
@@ -114,7 +148,7 @@ def assigned(trades: DataFrame, thresholds: Sequence[int] = (250,), segment: Col
             if ids:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(ids)), pa.array(np.concatenate(closes))], [*batch.schema.names, "bar_id", "closes"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("bar_id", T.LongType()), T.StructField("closes", T.BooleanType())]))
+    return rows.mapInArrow(run if tails is None else resumed, schema)
 
 
 def money(col: str) -> Column:
@@ -139,8 +173,11 @@ def aggregated(rows: DataFrame, by_record: bool = False, source: str = "derived"
         F.coalesce(F.sum(F.when(buy, n)), F.lit(0)).cast("long").alias("buy_trade_count"), F.coalesce(F.sum(F.when(sell, n)), F.lit(0)).cast("long").alias("sell_trade_count"),
         F.max("closes").alias("is_complete"),
     )
-    vwap = F.when(F.col("volume_fp") > 0, F.expr("cast(turnover_fp div cast(volume_fp as decimal(38,0)) as bigint)")).otherwise(F.col("open_fp"))
-    return bars.withColumn("vwap_fp", vwap).withColumn("data_source", F.lit(source))
+    return with_vwap(bars).withColumn("data_source", F.lit(source))
+
+
+def with_vwap(bars: DataFrame) -> DataFrame:
+    return bars.withColumn("vwap_fp", F.when(F.col("volume_fp") > 0, F.expr("cast(turnover_fp div cast(volume_fp as decimal(38,0)) as bigint)")).otherwise(F.col("open_fp")))
 
 
 def _ratio(top: Column, bottom: Column, otherwise: float = 0.0, least: float = EPS) -> Column:
