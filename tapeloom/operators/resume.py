@@ -49,17 +49,19 @@ def continued(trades: DataFrame, before: DataFrame | None, thresholds: Sequence[
 
 
 def chunks(start_us: int, end_us: int, unit: str) -> Iterator[tuple[int, int]]:
-    """Days or calendar months (UTC) that meet a time from start_us up to, but without, end_us: first and next one's first."""
-    if unit not in ("day", "month"):
+    """Days, weeks from Sunday or calendar months (UTC) that meet a time from start_us up to, but without, end_us: first and next one's first."""
+    if unit not in ("day", "week", "month"):
         raise ValueError(f"unit {unit}")
     day = 86_400_000_000
     at = start_us // day * day
+    if unit == "week":
+        at -= (at // day + 4) % 7 * day  # 1970-01-01 was a Thursday
     if unit == "month":
         first = datetime.fromtimestamp(start_us // 1_000_000, UTC)
         year, month = first.year, first.month
         at = int(datetime(year, month, 1, tzinfo=UTC).timestamp()) * 1_000_000
     while at < end_us:
-        after = at + day
+        after = at + (7 * day if unit == "week" else day)
         if unit == "month":
             year, month = (year, month + 1) if month < 12 else (year + 1, 1)
             after = int(datetime(year, month, 1, tzinfo=UTC).timestamp()) * 1_000_000

@@ -113,9 +113,30 @@ def _(s, d):
     return B.with_gap_segment(trades(s, d), 4.0).groupBy("symbol", "gap_segment").agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("first"), F.max("ts_us").alias("last"))
 
 
-@query("rb_gap_reset", "SELECT symbol, threshold, segment, count(*) AS n_bars FROM bars GROUP BY ALL", "", O.bars(trades=O.TRADES + ", stepped AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY symbol ORDER BY ts_us, agg_trade_id) >= 3600000000 THEN 1 ELSE 0 END AS step FROM trades), gaps AS (SELECT agg_trade_id AS gid, sum(step) OVER (PARTITION BY symbol ORDER BY ts_us, agg_trade_id)::BIGINT AS gap_segment FROM stepped)", segment="(SELECT gap_segment FROM gaps WHERE gid = agg_trade_id)"))
+_PAUSED = "CASE WHEN ts_us - lag(ts_us) OVER w > 600000000 AND {week} <> lag({week}) OVER w THEN 1 ELSE 0 END".format(week=O.SEGMENTS["week"])
+
+
+def populated(s: SparkSession, d: str, segment: str | None = None, most_gap_us: int | None = None):
+    """A population by weeks of all trades in a tick store that was stopped after two weeks, with what goes on with it."""
+    from ..operators.resume import Population
+    from .catalog_queries import shared
+
+    folder = shared(s, "population")
+    store = T.TickStore(s, f"{folder}/ticks")
+    store.append(trades(s, d))
+    first, last = s.read.parquet(f"{folder}/ticks").agg(F.min("ts_us"), F.max("ts_us")).first()
+    first, end = (0, 0) if first is None else (first, last + 1)
+    read = lambda a, b: store.read(None, a, b)
+    make = lambda: Population(s, f"{folder}/bars", segment=segment, most_gap_us=most_gap_us)
+    make().run(read, first, end, "week", most=2)
+    return make(), (read, first, end, "week")
+
+
+@query("rb_gap_reset", "SELECT symbol, threshold, row_number() OVER (PARTITION BY symbol, threshold ORDER BY segment, bar_id) - 1 AS bar_id, open_time, close_time, open, close, volume FROM bars", "open close volume", O.bars(trades=f"{O.TRADES}, gaps AS (SELECT agg_trade_id AS gid, sum(step) OVER (PARTITION BY symbol ORDER BY ts_us, agg_trade_id)::BIGINT AS paused FROM (SELECT *, {_PAUSED} AS step FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY ts_us, agg_trade_id)))", segment="(SELECT paused FROM gaps WHERE gid = agg_trade_id)"))
 def _(s, d):
-    return B.range_bars(B.with_gap_segment(trades(s, d), 1.0), segment=F.col("gap_segment")).groupBy("symbol", "threshold", "segment").agg(F.count(F.lit(1)).alias("n_bars"))
+    population, rest = populated(s, d, most_gap_us=600_000_000)
+    population.run(*rest)
+    return population.bars().select("symbol", "threshold", "bar_id", "open_time", "close_time", "open", "close", "volume")
 
 
 @query("rb_verify_pos", f"SELECT {KEYS}, missing::DOUBLE AS missing, CASE WHEN missing IS NULL THEN 'first' WHEN missing = 0 THEN 'exact' WHEN missing > 0 THEN 'gap' ELSE 'overlap' END AS position FROM (SELECT *, first_trade_id - lag(last_trade_id) OVER (PARTITION BY symbol, threshold, segment ORDER BY bar_id) - 1 AS missing FROM bars)", "", PLAIN)
@@ -131,7 +152,8 @@ def _(s, d):
 
 @query("rb_count_bounded", f"SELECT {KEYS}, open_time, close FROM bars QUALIFY row_number() OVER (PARTITION BY symbol, threshold ORDER BY close_time DESC, bar_id DESC) <= 25", "close", PLAIN)
 def _(s, d):
-    return Q.last_n(bars(s, d), 25).select(*KEYS.split(", "), "open_time", "close")
+    population, rest = populated(s, d)
+    return population.last_bars(25, *rest).select(*KEYS.split(", "), "open_time", "close")
 
 
 _QUOTES = """quotes AS (SELECT event_type AS symbol, event_id AS agg_trade_id, epoch_us(ts)::BIGINT AS ts_us, 1000000 + sum(round(value * 100)::BIGINT - 4963) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS mid, 50 + round(value * 100)::BIGINT % 97 AS half FROM events),
@@ -160,12 +182,19 @@ def _(s, d):
     return get_bars(trades(s, d), None, threshold="standard").select(*KEYS.split(", "), "open", "close")
 
 
-@query("rb_populate", "SELECT symbol, threshold, segment, count(*) AS n_bars, sum(agg_record_count)::BIGINT AS n_trades FROM allbars GROUP BY ALL", "", O.bars(segment="month"))
+@query("rb_populate", f"SELECT {KEYS}, {FIELDS}, is_complete FROM allbars", "open high low close volume", PLAIN)
 def _(s, d):
-    return bars(s, d, segment="month", include_incomplete=True).groupBy("symbol", "threshold", "segment").agg(F.count(F.lit(1)).alias("n_bars"), F.sum("agg_record_count").alias("n_trades"))
+    population, rest = populated(s, d)
+    population.run(*rest)
+    return population.bars(include_incomplete=True).select(*KEYS.split(", "), *FIELDS.split(", "), "is_complete")
+
 
+@query("rb_precompute", f"SELECT {KEYS}, {FIELDS}, is_complete FROM allbars", "open high low close volume", O.bars(segment="week"))
+def _(s, d):
+    population, rest = populated(s, d, segment="week")
+    population.run(*rest)
+    return population.bars(include_incomplete=True).select(*KEYS.split(", "), *FIELDS.split(", "), "is_complete")
 
-QUERIES["rb_precompute"], SQL["rb_precompute"] = QUERIES["rb_populate"], SQL["rb_populate"]
 
 # ---------------------------------------------------------------- fields of a bar
 

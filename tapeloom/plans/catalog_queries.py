@@ -574,14 +574,30 @@ def _(s, d):
     return Q.latest(b.unionByName(newer), ["symbol", "threshold", "segment", "bar_id"], "computed_at").select(*ID, "close")
 
 
-@query("so_retention", "SELECT job, queued_us FROM queue WHERE queued_us >= 1706700000000000 - 7 * 86400000000", "", f"WITH {_QUEUE}")
+def stored(s, d):
+    """A store with an older version of the even bars, and the newer of all."""
+    from ..sources import sinks
+
+    store = sinks.BarStore(s, shared(s, "bars"))
+    b = bars(s, d)
+    store.write(b.filter("bar_id % 2 = 0").withColumn("close", F.col("close") + 5), version=1, token="first")
+    store.write(b, version=2, token="second")
+    return store
+
+
+@query("so_retention", "SELECT symbol, bar_id, close_time, close FROM bars WHERE close_time >= 1706745600000000 - 14 * 86400000000", "close", PLAIN)
 def _(s, d):
-    return Q.retained(A.queue_from_events(s, d), "queued_us", 7, 1_706_700_000_000_000).select("job", "queued_us")
+    store = stored(s, d)
+    store.compact(now_us=1_706_745_600_000_000, keep_us=14 * 86_400_000_000)
+    return store.read().select(*ID, "close_time", "close")
 
 
-@query("so_invalidate", "SELECT symbol, bar_id FROM bars WHERE NOT (symbol = 'click' AND open_time BETWEEN 1705000000000000 AND 1705600000000000)", "", PLAIN)
+@query("so_invalidate", "SELECT symbol, bar_id, close FROM bars WHERE NOT (symbol = 'click' AND open_time BETWEEN 1705000000000000 AND 1705600000000000) AND symbol <> 'view'", "close", PLAIN)
 def _(s, d):
-    return bars(s, d).filter(~((F.col("symbol") == "click") & F.col("open_time").between(1_705_000_000_000_000, 1_705_600_000_000_000))).select(*ID)
+    store = stored(s, d)
+    store.invalidate("click", 2, 250, 1_705_000_000_000_000, 1_705_600_000_000_000)
+    store.invalidate("view", 2)
+    return store.read().select(*ID, "close")
 
 
 # ---------------------------------------------------------------- scalar functions
@@ -840,12 +856,9 @@ def _(s, d):
 
 @query("snk_store", "SELECT symbol, bar_id, close FROM bars", "close", PLAIN)
 def _(s, d):
-    from ..sources import sinks
-
-    store = sinks.BarStore(s, shared(s, "bars"))
-    b = bars(s, d)
-    store.write(b.filter("bar_id % 2 = 0").withColumn("close", F.col("close") + 5), version=1)
-    store.write(b, version=2)
+    store = stored(s, d)
+    store.write(bars(s, d).withColumn("close", F.lit(0.0)), version=3, token="second")  # has been written
+    store.compact()
     return store.read().select(*ID, "close")
 
 
@@ -910,10 +923,40 @@ def _(s, d):
 
 from .catalog import QUERIES, SQL  # noqa: E402
 
-for _alias, _of in (("rb_stream", "str_live"), ("str_state", "str_live"), ("str_backpressure", "str_live"), ("ind_stats", "str_stats")):
+for _alias, _of in (("rb_stream", "str_live"), ("ind_stats", "str_stats")):
     QUERIES[_alias], SQL[_alias] = QUERIES[_of], SQL[_of]
 
 
+@query("str_state", "SELECT symbol, threshold, bar_id, open_fp, close_fp, volume_fp FROM raw WHERE is_complete", "", O.bars((250, 1000)))
+def _(s, d):
+    from ..streaming import live
+
+    return live.restarted_bars(s, trades(s, d), shared(s, "stream"), (250, 1000)).select("symbol", "threshold", "bar_id", "open_fp", "close_fp", "volume_fp")
+
+
+@query("str_backpressure", "SELECT (ts_us - a) // w AS batch, count(*) AS n FROM trades, (SELECT min(ts_us) AS a, greatest(1, (max(ts_us) - min(ts_us)) // 4 + 1) AS w FROM trades) GROUP BY ALL", "", TRADES)
+def _(s, d):
+    from ..streaming import live
+
+    return live.batch_sizes(s, trades(s, d), shared(s, "stream"), 4)
+
+
+_WINDOW = "symbol, start_us, start_us + {width} AS end_us, count(*) AS n, sum(volume_fp)::BIGINT AS volume_fp, min(price_fp) AS low_fp, max(price_fp) AS high_fp"
+_PASSED = "(SELECT max(ts_us) // 1000 * 1000 - 600000000 FROM trades)"
+_SESSIONS = "turned AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER w >= 900000000 THEN 1 ELSE 0 END AS turn FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY ts_us, agg_trade_id)), numbered AS (SELECT *, sum(turn) OVER (PARTITION BY symbol ORDER BY ts_us, agg_trade_id) AS k FROM turned)"
+for _kind, _how, _sql in (
+    ("tumbling", {}, f"SELECT {_WINDOW.format(width=3_600_000_000)} FROM (SELECT *, ts_us // 3600000000 * 3600000000 AS start_us FROM trades) GROUP BY symbol, start_us"),
+    ("sliding", {"slide": "30 minutes"}, f"SELECT {_WINDOW.format(width=3_600_000_000)} FROM (SELECT *, ts_us // 1800000000 * 1800000000 - 1800000000 * unnest([0, 1]) AS start_us FROM trades) GROUP BY symbol, start_us"),
+    ("session", {"session": "15 minutes"}, "SELECT symbol, min(ts_us) AS start_us, max(ts_us) + 900000000 AS end_us, count(*) AS n, sum(volume_fp)::BIGINT AS volume_fp, min(price_fp) AS low_fp, max(price_fp) AS high_fp FROM numbered GROUP BY symbol, k"),
+):
+
+    @query(f"str_window_{_kind}", f"SELECT * FROM ({_sql}) WHERE end_us <= {_PASSED}", "", f"{TRADES}, {_SESSIONS}")
+    def _(s, d, how=_how):
+        from ..streaming import live
+
+        return live.replayed_windows(s, trades(s, d), shared(s, "windows"), **how)
+
+
 @query("rb_checkpoint", """SELECT symbol, threshold, segment, bar_id, last_ts, last_id, done AS next_opens, CASE WHEN done THEN -1 ELSE open_fp END AS open_fp, CASE WHEN done THEN -1 ELSE open_fp + open_fp * threshold // 100000 END AS upper_fp, CASE WHEN done THEN -1 ELSE open_fp - open_fp * threshold // 100000 END AS lower_fp, CASE WHEN done THEN -1 ELSE open_time END AS open_time
 FROM (SELECT symbol, threshold, segment, bar_id, arg_min(price_fp, rn) AS open_fp, min(ts_us) AS open_time, bool_or(closes) AS done, max(ts_us) AS last_ts, arg_max(agg_trade_id, rn) AS last_id FROM a GROUP BY ALL) QUALIFY bar_id = max(bar_id) OVER (PARTITION BY symbol, threshold, segment)""", "", O.walked())
 def _(s, d):

@@ -6,6 +6,7 @@ import io
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,24 +27,88 @@ def split_bad(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class BarStore:
-    """Bars as Parquet by symbol and threshold. Writes append a version; reads take each bar's latest."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def write(self, bars: DataFrame, version: int) -> None:
+    """Bars as Parquet by generation, mode, symbol and threshold; a table of deletions, one of tokens and one of generations lie
+    beside it.
+
+    Writes append a version; reads take each bar's latest that no deletion of that version or a later one meets. `mode` names how
+    the bars were cut (no segments, month, ...): a series has one, and a write of another raises. `compact` writes what can
+    still be read as the next generation, and reads turn to it once its line is there.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, mode: str = "none"):
+        self.spark, self.path, self.mode = spark, path, mode
+
+    def _beside(self, kind: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}-{kind}")
+        except AnalysisException as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def _note(self, kind: str, schema: str, *row) -> None:
+        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.path}-{kind}")
+
+    def generation(self) -> int:
+        return self._beside("generations", "generation int").agg(F.coalesce(F.max("generation"), F.lit(0))).first()[0]
+
+    def _rows(self) -> DataFrame | None:
+        try:
+            rows = self.spark.read.parquet(self.path)
+        except AnalysisException as missing:
+            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
+                raise
+            return None
+        return rows.filter(F.col("generation") == self.generation())
+
+    def write(self, bars: DataFrame, version: int, token: str | None = None) -> bool:
+        """Appends the bars that may be stored. A token that has been written is passed over (False); one whose write was lost
+        midway is written again, and reads take one row of each bar all the same."""
+        if token is not None and not self._beside("tokens", "token string").filter(F.col("token") == token).isEmpty():
+            return False
         good, _ = split_bad(bars)
-        good.withColumn("computed_at", F.lit(version).cast("long")).repartition("symbol", "threshold").write.mode("append").partitionBy("symbol", "threshold").parquet(self.path)
-
-    def read(self, since: int | None = None, until: int | None = None, least_version: int | None = None) -> DataFrame:
-        rows = self.spark.read.parquet(self.path)
-        if since is not None:
-            rows = rows.filter(F.col("close_time") >= since)
-        if until is not None:
-            rows = rows.filter(F.col("close_time") <= until)
-        if least_version is not None:
-            rows = rows.filter(F.col("computed_at") >= least_version)
-        return latest(rows, BAR, "computed_at").drop("computed_at")
+        there = self._rows()
+        if there is not None:
+            other = there.filter(F.col("mode") != self.mode).select("symbol", "threshold", "mode").distinct().join(good.select("symbol", "threshold").distinct(), ["symbol", "threshold"]).first()
+            if other is not None:
+                raise ValueError(f"{other.symbol} at {other.threshold} is stored in mode {other['mode']}, not {self.mode}")
+        self._append(good.withColumn("computed_at", F.lit(version).cast("long")), self.generation())
+        if token is not None:
+            self._note("tokens", "token string", token)
+        return True
+
+    def _append(self, rows: DataFrame, generation: int) -> None:
+        rows = rows.withColumns({"generation": F.lit(generation), "mode": F.lit(self.mode) if "mode" not in rows.columns else F.col("mode")})
+        month = F.date_trunc("month", F.timestamp_micros("close_time"))  # deals a symbol with many bars over tasks
+        rows.repartition("symbol", "threshold", month).write.mode("append").partitionBy("generation", "mode", "symbol", "threshold").parquet(self.path)
+
+    def invalidate(self, symbol: str, version: int, threshold: int | None = None, start_us: int = 0, end_us: int = 1 << 62) -> None:
+        """Deletes the bars of a symbol (of one threshold, or all) that open from start_us to end_us, up to that version."""
+        self._note("deleted", "symbol string, threshold int, start_us long, end_us long, version long", symbol, threshold, start_us, end_us, version)
+
+    def _live(self) -> DataFrame:
+        rows, gone = self._rows(), self._beside("deleted", "symbol string, threshold int, start_us long, end_us long, version long").alias("g")
+        if rows is None:
+            raise ValueError("nothing is stored")
+        meets = (F.col("r.symbol") == F.col("g.symbol")) & (F.col("g.threshold").isNull() | (F.col("r.threshold") == F.col("g.threshold"))) & F.col("r.open_time").between(F.col("g.start_us"), F.col("g.end_us")) & (F.col("r.computed_at") <= F.col("g.version"))
+        return rows.alias("r").join(gone, meets, "left_anti")
+
+    def read(self, since: int | None = None, until: int | None = None, least_version: int | None = None, mode: str | None = None) -> DataFrame:
+        """Bars that close from `since` to `until`, of versions from least_version, of one mode or all."""
+        rows = self._live()
+        for given, keep in ((since, F.col("close_time") >= since), (until, F.col("close_time") <= until), (least_version, F.col("computed_at") >= least_version), (mode, F.col("mode") == mode)):
+            if given is not None:
+                rows = rows.filter(keep)
+        return latest(rows, BAR, "computed_at").drop("computed_at", "generation", "mode")
+
+    def compact(self, now_us: int | None = None, keep_us: int | None = None) -> None:
+        """Writes the latest version of each bar that is not deleted as a generation of its own; with keep_us only bars that
+        closed within that time before now_us. Writes meanwhile are not seen: one writer at a time."""
+        rows, after = self._live(), self.generation() + 1
+        if keep_us is not None:
+            rows = rows.filter(F.col("close_time") >= now_us - keep_us)
+        self._append(latest(rows, BAR, "computed_at").drop("generation"), after)
+        self._note("generations", "generation int", after)
 
 
 def panel(bars: DataFrame, features: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ comes out with `late` set instead of changing a bar. State is lossless, so any s
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -60,24 +61,27 @@ def streaming_bars(trades: DataFrame, thresholds: Sequence[int] = (250,), gate:
     return keyed.groupBy("symbol", "threshold").applyInPandasWithState(_fold(gate), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def _as_stream(spark: SparkSession, trades: DataFrame, folder: str, slices: int) -> DataFrame:
-    """The trades written in order as a few files, read again as a stream of one file at a time."""
+def _as_stream(spark: SparkSession, trades: DataFrame, folder: str, slices: int, only: range | None = None) -> DataFrame:
+    """The trades (those of `only` some slices) written in order as a few files, read as a stream of one file at a time: what a
+    micro-batch holds is bounded however much waits."""
     bounds = trades.agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b")).first()
     width = max(1, (bounds.b - bounds.a) // slices + 1) if bounds.a is not None else 1
-    for k in range(slices):
+    for k in only or range(slices):
         part = trades.filter(F.floor((F.col("ts_us") - F.lit(bounds.a)) / width) == k)
         part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     return spark.readStream.schema(trades.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{folder}/in")
 
 
-def _drained(frame: DataFrame, folder: str, mode: str) -> str:
-    """Runs a stream until its input is used up; each batch goes to its own folder, so that a repeated batch replaces itself."""
-    out = f"{folder}/out-{uuid.uuid4().hex}"
+def _drained(frame: DataFrame, folder: str, mode: str, run: str | None = None) -> str:
+    """Runs a stream until its input is used up; each batch goes to its own folder, so that a repeated batch replaces itself.
+    The same `run` goes on where it stopped."""
+    run = run or uuid.uuid4().hex
+    out = f"{folder}/out-{run}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    q = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state-{uuid.uuid4().hex}").trigger(availableNow=True).foreachBatch(keep).start()
+    q = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state-{run}").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
     return out
 
@@ -88,6 +92,36 @@ def replayed_bars(spark: SparkSession, trades: DataFrame, folder: str, threshold
     return spark.read.parquet(out).filter("not late").drop("batch", "late")
 
 
+def restarted_bars(spark: SparkSession, trades: DataFrame, folder: str, thresholds: Sequence[int] = (250,), slices: int = 4) -> DataFrame:
+    """Bars of a stream that is stopped half way and started again with its checkpoint: forming bars live in its state."""
+    for part in (range(slices // 2), range(slices // 2, slices)):
+        stream = _as_stream(spark, trades, folder, slices, part)
+        out = _drained(streaming_bars(stream, thresholds), folder, "append", "run")
+    return spark.read.parquet(out).filter("not late").drop("batch", "late")
+
+
+def batch_sizes(spark: SparkSession, trades: DataFrame, folder: str, slices: int = 4) -> DataFrame:
+    """batch, n: the trades of each micro-batch of a stream whose whole input waits from the start."""
+    out = _drained(_as_stream(spark, trades, folder, slices).select("symbol", "agg_trade_id"), folder, "append")
+    return spark.read.parquet(out).groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def windowed(trades: DataFrame, width: str = "1 hour", slide: str | None = None, delay: str = "10 minutes", session: str | None = None) -> DataFrame:
+    """Trades of a stream by symbol and window of time: tumbling, sliding by `slide`, or sessions that end with a pause of
+    `session`. A window comes out once the watermark, the newest time of the micro-batches before less `delay`, has passed its
+    end, and its state goes with it; trades that come for a window that is out are passed over."""
+    at = F.col("_at")
+    window = F.session_window(at, session) if session else F.window(at, width, slide) if slide else F.window(at, width)
+    rows = trades.withColumn("_at", F.timestamp_micros("ts_us")).withWatermark("_at", delay)
+    sums = rows.groupBy("symbol", window.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("volume_fp").alias("volume_fp"), F.min("price_fp").alias("low_fp"), F.max("price_fp").alias("high_fp"))
+    return sums.select("symbol", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n", "volume_fp", "low_fp", "high_fp")
+
+
+def replayed_windows(spark: SparkSession, trades: DataFrame, folder: str, slices: int = 3, **how) -> DataFrame:
+    """The windows that recorded trades end, by way of the stream."""
+    return spark.read.parquet(_drained(windowed(_as_stream(spark, trades, folder, slices), **how), folder, "append")).drop("batch")
+
+
 def replayed_stats(spark: SparkSession, trades: DataFrame, folder: str, slices: int = 3) -> DataFrame:
     """Running statistics of each symbol at the end of the stream."""
     stream = _as_stream(spark, trades, folder, slices)
@@ -112,15 +146,40 @@ def progress(query) -> dict:
 
 def into_store(spark: SparkSession, bars: DataFrame, path: str, checkpoint: str):
     """Starts writing a stream of bars to a bar store. A batch's number is its version, so a batch that is repeated after a
-    failure replaces itself when it is read; bars that may not be stored go to the dead letters beside it."""
+    failure replaces itself when it is read; bars that may not be stored go to the dead letters beside it, and so does a batch
+    that can't be written in four attempts (waits of 1, 2 and 4 seconds), for `replay_dead`."""
+    from ..sources.paged import retried
     from ..sources.sinks import BarStore, split_bad
 
-    store = BarStore(spark, path)
+    store, run = BarStore(spark, path), f"r{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
 
     def keep(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # read several times; the state behind it is to be folded once
+        try:
+            kept(batch, number)
+        finally:
+            batch.unpersist()
+
+    def kept(batch: DataFrame, number: int) -> None:
         known = batch.filter("not late").drop("late").withColumn("segment", F.lit(0).cast("long"))
         priced = known.select("*", *[(F.col(f"{c}_fp") / F.lit(1e8)).alias(c) for c in ("open", "high", "low", "close", "volume")])
-        store.write(priced, version=number)
-        split_bad(priced)[1].withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}-dead")
+        good, bad = split_bad(priced)
+        try:
+            retried(lambda: store.write(good, version=number, token=f"{run} {number}"), times=4)
+        except Exception as failure:
+            bad = bad.unionByName(good.withColumn("reason", F.lit(f"{UNWRITTEN}{type(failure).__name__}")))
+        bad.write.mode("overwrite").parquet(f"{path}-dead/run={run}/batch={number}")
 
     return bars.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
+
+
+UNWRITTEN = "not written: "
+
+
+def replay_dead(spark: SparkSession, path: str) -> int:
+    """Writes the batches that could not be written to the store again; how many of them it had not held."""
+    from ..sources.sinks import BarStore
+
+    dead, store = spark.read.option("basePath", f"{path}-dead").parquet(f"{path}-dead").filter(F.col("reason").startswith(UNWRITTEN)), BarStore(spark, path)
+    lost = sorted((r.run, r.batch) for r in dead.select("run", "batch").distinct().collect())  # one row for each failed batch
+    return sum(store.write(dead.filter((F.col("run") == run) & (F.col("batch") == n)).drop("run", "batch", "reason"), version=n, token=f"{run} {n}") for run, n in lost)

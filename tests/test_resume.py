@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from datetime import UTC, datetime
 
 import pytest
 
@@ -132,4 +133,6 @@ def test_chunks_cover_the_time_asked_for():
     assert month[0][0] <= START and month[-1][1] >= START + 40 * DAY and all(a[1] == b[0] for a, b in zip(month, month[1:]))
     assert len(list(R.chunks(0, 3 * DAY, "day"))) == 3 and list(R.chunks(5, 5 - DAY, "day")) == []
     with pytest.raises(ValueError):
-        list(R.chunks(0, 1, "week"))
+        list(R.chunks(0, 1, "year"))
+    week = list(R.chunks(START, START + 9 * DAY, "week"))
+    assert all(datetime.fromtimestamp(a // 1_000_000, UTC).strftime("%a %H:%M") == "Sun 00:00" for pair in week for a in pair) and week[0][0] <= START < week[0][1]
