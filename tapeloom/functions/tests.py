@@ -17,6 +17,13 @@ def tstat(col: str = "ret") -> Column:
     return F.when((n >= 2) & (s > 0), F.avg(col) / (s / F.sqrt(n)))
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson's, of the rows in which both are known; null without spread in one of them."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
+
+
 def normal_cdf(z: Column) -> Column:
     """Abramowitz and Stegun 26.2.17; the error is under 7.5e-8."""
     t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.2316419) * F.abs(z))

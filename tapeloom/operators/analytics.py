@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling as R
 from ..functions import series as N
+from ..functions.tests import correlation
 from . import joins as J
+from .bars import FEATURES
+from .quality import plausible
 
 BY = ("symbol", "threshold")
 
@@ -106,10 +109,30 @@ def aligned(bars: DataFrame, thresholds: tuple) -> DataFrame:
     return rows.withColumn("alignment", F.when(ups == full, "aligned_up").when((ups == 0) & (known == full), "aligned_down").when(ups >= most, "partial_up").when(known - ups >= most, "partial_down").otherwise("mixed"))
 
 
+def _rank_correlation(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2.0
+    return rows.select(*by, rank(x).alias("_a"), rank(y).alias("_b")).groupBy(*by).agg(correlation("_a", "_b").alias("rho"), F.count(F.lit(1)).alias("n"))
+
+
 def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Correlation of average ranks."""
-    rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2.0
-    return rows.select(*by, rank(x).alias("_a"), rank(y).alias("_b")).groupBy(*by).agg(F.corr("_a", "_b").alias("rho"))
+    return _rank_correlation(rows, x, y, by).drop("n")
+
+
+def second_tier(bars: DataFrame, least: int = 100, weakest: float = 0.02, features_needed: int = 3) -> DataFrame:
+    """Second-tier plausibility: of each feature the rank correlation with the next return (where there are more than `least`
+    pairs), whether it is significant at 5 % and over `weakest`; of each series how many are, and whether the first tier and at
+    least `features_needed` features pass. The limit of t is its expansion about the normal one, right to 1e-6 at these sizes."""
+    ahead = F.lead("close").over(R.series()) / F.col("close") - 1
+    long = bars.select(*BY, ahead.alias("ret"), *[F.col(f).cast("double").alias(f) for f in FEATURES]).unpivot([*BY, "ret"], list(FEATURES), "feature", "value")
+    found = _rank_correlation(long.filter("ret is not null and value is not null and not isnan(value)"), "value", "ret", [*BY, "feature"]).filter(F.col("n") > least)
+    z, df = 1.959963984540054, F.col("n") - 2
+    limit = z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df * df)
+    t = F.abs("rho") * F.sqrt(df / (1 - F.col("rho") * F.col("rho")))
+    marked = found.withColumn("significant", F.coalesce((F.abs("rho") > weakest) & ((F.abs("rho") >= 1) | (t > limit)) & ~F.isnan("rho"), F.lit(False)))
+    first = plausible(bars).select(*BY, F.col("passed").alias("tier1_passed"))
+    counted = marked.withColumn("n_significant", F.count_if("significant").over(Window.partitionBy(*BY)))
+    return counted.join(first, list(BY)).select(*BY, "feature", "n", "rho", "significant", "n_significant", (F.col("tier1_passed") & (F.col("n_significant") >= features_needed)).alias("passed"))
 
 
 def mutual_information(rows: DataFrame, x: str, y: str, by: list[str], bins: int = 8) -> DataFrame:

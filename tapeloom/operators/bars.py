@@ -184,6 +184,9 @@ def _ratio(top: Column, bottom: Column, otherwise: float = 0.0, least: float = E
     return F.when(bottom > least, top * (F.lit(1.0) / bottom)).otherwise(F.lit(otherwise))
 
 
+FEATURES = ("duration_us", "ofi", "vwap_close_deviation", "price_impact", "kyle_lambda_proxy", "trade_intensity", "volume_per_trade", "aggression_ratio", "aggregation_density", "turnover_imbalance")
+
+
 def features() -> dict[str, Column]:
     """The ten features of a bar, from the columns of `aggregated`."""
     o, h, lo, c, v = (money(f"{x}_fp") for x in ("open", "high", "low", "close", "volume"))

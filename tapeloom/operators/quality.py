@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import asset_class
+from ..functions.tests import correlation
 from .bars import BAR, KEYS
 
 
@@ -15,7 +19,7 @@ def order():
 def gap_share() -> Column:
     """How far a bar's open is from the close before, as a share of it."""
     before = F.lag("close").over(order())
-    return F.abs(F.col("open") - before) / before
+    return F.try_divide(F.abs(F.col("open") - before), before)
 
 
 def discontinuities(bars: DataFrame, tolerance: float = 0.005) -> DataFrame:
@@ -26,8 +30,58 @@ def gap_tiers(bars: DataFrame, factor: float = 2.0) -> DataFrame:
     """Gaps by tier: under 1e-5, 1e-4 and 1e-3, under a session break, and beyond. A session break is `factor` times
     threshold / 10000, ten times what the bar's own unit would give."""
     gaps = bars.withColumn("gap", gap_share()).filter("gap is not null")
-    tier = F.when(F.col("gap") < 1e-5, "precision").when(F.col("gap") < 1e-4, "noise").when(F.col("gap") < 1e-3, "market_move").when(F.col("gap") < F.col("threshold") / 10_000.0 * factor, "microstructure").otherwise("session_boundary")
-    return gaps.groupBy("symbol", "threshold", tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("max_gap"), F.avg("gap").alias("avg_gap"))
+    return gaps.groupBy("symbol", "threshold", _tier(factor).alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("max_gap"), F.avg("gap").alias("avg_gap"))
+
+
+#: Greatest gap and what to do beyond it.
+PRESETS = {
+    "permissive": (0.05, "warn"), "research": (0.02, "warn"), "standard": (0.01, "warn"), "strict": (0.005, "error"), "paranoid": (0.001, "error"),
+    "crypto": (0.02, "warn"), "forex": (0.01, "warn"), "equities": (0.03, "warn"), "skip": (0.0, "skip"), "audit": (0.002, "error"),
+}
+TIERS = ("precision", "noise", "market_move", "microstructure", "session_boundary")
+
+
+class ContinuityError(ValueError):
+    """Bars with gaps over what the preset allows."""
+
+
+def continuity(bars: DataFrame, preset: str | tuple[float, str] = "standard", factor: float = 2.0) -> DataFrame:
+    """Of each series: n_bars, the gaps of each tier, max_gap, n_over (gaps of 1e-5 and more over the tolerance), is_valid (no
+    session boundary) and the verdict: ok, skipped, or warn or error where a gap of 1e-4 or more is over the tolerance. A preset
+    by name, "auto" for that of the symbol's kind, or tolerance and mode."""
+    if preset == "auto":
+        kind = asset_class(F.col("symbol"))
+        tolerance, mode = F.when(kind == "crypto", PRESETS["crypto"][0]).when(kind.isin("forex", "commodity"), PRESETS["forex"][0]).otherwise(PRESETS["standard"][0]), "warn"
+    else:
+        given, mode = PRESETS[preset] if isinstance(preset, str) else preset
+        tolerance = F.lit(given)
+    if mode not in ("error", "warn", "skip"):
+        raise ValueError(f"mode {mode}")
+    skip = mode == "skip"
+    rows = bars.withColumn("gap", F.lit(None).cast("double") if skip else gap_share()).withColumn("_over", F.col("gap") > tolerance)
+    tier = _tier(factor)
+    out = rows.groupBy("symbol", "threshold").agg(
+        F.count(F.lit(1)).alias("n_bars"), *[F.count_if(tier == t).alias(t) for t in TIERS], F.max("gap").alias("max_gap"),
+        F.count_if(F.col("_over") & (F.col("gap") >= 1e-5)).alias("n_over"), F.count_if(F.col("_over") & (F.col("gap") >= 1e-4)).alias("_bad"),
+    )
+    verdict = F.lit("skipped") if skip else F.when(F.col("_bad") > 0, mode).otherwise("ok")
+    return out.withColumn("is_valid", F.col("session_boundary") == 0).withColumn("verdict", verdict).drop("_bad")
+
+
+def continuous(bars: DataFrame, preset: str | tuple[float, str] = "standard", factor: float = 2.0) -> DataFrame:
+    """The bars, once their continuity is checked: an error or a warning names the series with the greatest gap."""
+    verdicts = continuity(bars, preset, factor)
+    worst = verdicts.filter("verdict in ('warn', 'error')").orderBy(F.desc("max_gap"), "symbol", "threshold").first()
+    if worst is not None:
+        told = f"{worst.symbol} at {worst.threshold}: {worst.n_over} gaps over the tolerance, the greatest of {worst.max_gap:.4%}"
+        if worst.verdict == "error":
+            raise ContinuityError(told)
+        warnings.warn(told, stacklevel=2)
+    return bars
+
+
+def _tier(factor: float) -> Column:
+    return F.when(F.col("gap") < 1e-5, "precision").when(F.col("gap") < 1e-4, "noise").when(F.col("gap") < 1e-3, "market_move").when(F.col("gap") < F.col("threshold") / 10_000.0 * factor, "microstructure").when(F.col("gap").isNotNull(), "session_boundary")
 
 
 def junctions(bars: DataFrame, tolerance: float = 0.001) -> DataFrame:
@@ -56,7 +110,7 @@ def plausible(bars: DataFrame) -> DataFrame:
     bars, a correlation of order flow and return that is neither absent nor too good."""
     w = order()
     rows = bars.withColumn("_r", F.col("close") / F.lag("close").over(w) - 1)
-    c = F.corr("ofi", "_r")
+    c = correlation("ofi", "_r")
     wild = lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
     out = rows.groupBy("symbol", "threshold").agg(
         F.count(F.lit(1)).alias("n"), F.bool_or(wild("ofi") | wild("kyle_lambda_proxy")).alias("has_nan"), F.bool_and(F.col("ofi").between(-1, 1)).alias("ofi_bounded"),

@@ -37,4 +37,5 @@ def price_hash(trades: DataFrame, last: int = 8) -> DataFrame:
     """A fingerprint of each symbol's last prices, to tell whether a restart goes on from the same place."""
     w = Window.partitionBy("symbol").orderBy(F.col("ts_us").desc(), F.col("agg_trade_id").desc())
     recent = trades.withColumn("_n", F.row_number().over(w))
-    return recent.groupBy("symbol").agg(F.xxhash64(F.transform(F.sort_array(F.collect_list(F.when(F.col("_n") <= last, F.struct("_n", "price_fp")))), lambda x: x["price_fp"])).alias("price_hash"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= last)
+    prices = F.transform(F.sort_array(F.collect_list(F.when(F.col("_n") <= last, F.struct("_n", "price_fp")))), lambda x: x["price_fp"])
+    return recent.groupBy("symbol").agg(prices.alias("prices"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= last).select("symbol", F.xxhash64("prices").alias("price_hash"), "prices", "n")

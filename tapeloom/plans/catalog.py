@@ -108,9 +108,10 @@ def _(s, d):
     return B.range_bars(hourly, gate=False).select(*KEYS.split(", "), *FIELDS.split(", "))
 
 
-@query("rb_forex_weekend", "SELECT symbol, gap_segment, count(*) AS n, min(ts_us) AS first, max(ts_us) AS last FROM (SELECT *, sum(step) OVER (PARTITION BY symbol ORDER BY ts_us, agg_trade_id)::BIGINT AS gap_segment FROM (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY symbol ORDER BY ts_us, agg_trade_id) >= 14400000000 THEN 1 ELSE 0 END AS step FROM trades)) GROUP BY ALL", "", TRADES)
+#: Four hours, as the test tables' events know no weekend.
+@query("rb_forex_weekend", f"SELECT {KEYS}, {FIELDS} FROM bars", "open high low close volume", O.bars(trades=O.TRADES + ", stepped AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY symbol ORDER BY ts_us, agg_trade_id) >= 14400000000 THEN 1 ELSE 0 END AS step FROM trades), gaps AS (SELECT agg_trade_id AS gid, sum(step) OVER (PARTITION BY symbol ORDER BY ts_us, agg_trade_id)::BIGINT AS gap_segment FROM stepped)", segment="(SELECT gap_segment FROM gaps WHERE gid = agg_trade_id)"))
 def _(s, d):
-    return B.with_gap_segment(trades(s, d), 4.0).groupBy("symbol", "gap_segment").agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("first"), F.max("ts_us").alias("last"))
+    return B.range_bars(B.with_gap_segment(trades(s, d), 4.0), segment=F.col("gap_segment")).select(*KEYS.split(", "), *FIELDS.split(", "))
 
 
 _PAUSED = "CASE WHEN ts_us - lag(ts_us) OVER w > 600000000 AND {week} <> lag({week}) OVER w THEN 1 ELSE 0 END".format(week=O.SEGMENTS["week"])
@@ -168,11 +169,11 @@ def _(s, d):
     return spread_bars(quotes_from_events(s, d))
 
 
-@query("rb_price_hash", "SELECT symbol, count(*) AS n FROM trades GROUP BY symbol HAVING count(*) >= 8", "", TRADES)
+@query("rb_price_hash", "SELECT symbol, string_agg(price_fp, ',' ORDER BY k) FILTER (k <= 8) AS prices, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_us DESC, agg_trade_id DESC) AS k FROM trades) GROUP BY symbol HAVING count(*) >= 8", "", TRADES)
 def _(s, d):
     from ..operators.spread import price_hash
 
-    return price_hash(trades(s, d)).select("symbol", "n")
+    return price_hash(trades(s, d)).select("symbol", F.concat_ws(",", F.col("prices").cast("array<string>")).alias("prices"), "n")
 
 
 @query("rb_api", f"SELECT {KEYS}, open, close FROM bars", "open close", PLAIN)

@@ -479,7 +479,7 @@ def _(s, d):
 
 @query("st_corr_matrix", "SELECT corr(ofi, price_impact) AS ofi_impact, corr(ofi, volume) AS ofi_volume, corr(price_impact, volume) AS impact_volume FROM bars", "ofi_impact ofi_volume impact_volume", PLAIN)
 def _(s, d):
-    return bars(s, d).agg(F.corr("ofi", "price_impact").alias("ofi_impact"), F.corr("ofi", "volume").alias("ofi_volume"), F.corr("price_impact", "volume").alias("impact_volume"))
+    return bars(s, d).agg(S.correlation("ofi", "price_impact").alias("ofi_impact"), S.correlation("ofi", "volume").alias("ofi_volume"), S.correlation("price_impact", "volume").alias("impact_volume"))
 
 
 @query("st_spearman", "SELECT symbol, corr(a, b) AS rho FROM (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY ofi) + (count(*) OVER (PARTITION BY symbol, ofi) - 1) / 2.0 AS a, rank() OVER (PARTITION BY symbol ORDER BY price_impact) + (count(*) OVER (PARTITION BY symbol, price_impact) - 1) / 2.0 AS b FROM bars) GROUP BY symbol", "rho", PLAIN)
@@ -688,15 +688,38 @@ def _(s, d):
     return Q.staleness(bars(s, d))
 
 
-@query("val_tier1", "SELECT *, coalesce(corr_sane, true) AND NOT has_nan AND ofi_bounded AND abs(mean_ofi) < 0.3 AND median_aggression < 10 AND min_volume >= 0 AS passed FROM (SELECT *, CASE WHEN n > 50 AND NOT isnan(corr_ofi_return) THEN abs(corr_ofi_return) > 0.05 AND abs(corr_ofi_return) < 0.8 END AS corr_sane FROM (SELECT symbol, threshold, count(*) AS n, bool_or(isnan(ofi) OR isinf(ofi) OR isnan(kyle_lambda_proxy) OR isinf(kyle_lambda_proxy)) AS has_nan, bool_and(ofi BETWEEN -1 AND 1) AS ofi_bounded, avg(ofi) AS mean_ofi, median(aggression_ratio) AS median_aggression, min(volume) AS min_volume, corr(ofi, r) AS corr_ofi_return FROM (SELECT *, close / lag(close) OVER (PARTITION BY symbol, threshold, segment ORDER BY bar_id) - 1 AS r FROM bars) GROUP BY ALL))", "mean_ofi median_aggression min_volume corr_ofi_return", PLAIN)
+_TIER1 = "SELECT *, coalesce(corr_sane, true) AND NOT has_nan AND ofi_bounded AND abs(mean_ofi) < 0.3 AND median_aggression < 10 AND min_volume >= 0 AS passed FROM (SELECT *, CASE WHEN n > 50 AND NOT isnan(corr_ofi_return) THEN abs(corr_ofi_return) > 0.05 AND abs(corr_ofi_return) < 0.8 END AS corr_sane FROM (SELECT symbol, threshold, count(*) AS n, bool_or(isnan(ofi) OR isinf(ofi) OR isnan(kyle_lambda_proxy) OR isinf(kyle_lambda_proxy)) AS has_nan, bool_and(ofi BETWEEN -1 AND 1) AS ofi_bounded, avg(ofi) AS mean_ofi, median(aggression_ratio) AS median_aggression, min(volume) AS min_volume, corr(ofi, r) AS corr_ofi_return FROM (SELECT *, close / lag(close) OVER (PARTITION BY symbol, threshold, segment ORDER BY bar_id) - 1 AS r FROM bars) GROUP BY ALL))"
+
+
+@query("val_tier1", _TIER1, "mean_ofi median_aggression min_volume corr_ofi_return", PLAIN)
 def _(s, d):
     return Q.plausible(bars(s, d))
 
 
-@query("val_tier2")
+_WIDE = ", ".join(f"{f}::DOUBLE AS {f}" for f in B.FEATURES)
+_LIMIT = "1.959963984540054 + (1.959963984540054 ** 3 + 1.959963984540054) / (4 * (n - 2)) + (5 * 1.959963984540054 ** 5 + 16 * 1.959963984540054 ** 3 + 3 * 1.959963984540054) / (96 * (n - 2) * (n - 2))"
+_TIER2 = f"""long AS (SELECT symbol, threshold, feature, value, ret FROM (SELECT symbol, threshold, ret, {_WIDE} FROM dir WHERE ret IS NOT NULL) UNPIVOT (value FOR feature IN ({', '.join(B.FEATURES)}))),
+ranks AS (SELECT symbol, threshold, feature, rank() OVER (PARTITION BY symbol, threshold, feature ORDER BY value) + (count(*) OVER (PARTITION BY symbol, threshold, feature, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY symbol, threshold, feature ORDER BY ret) + (count(*) OVER (PARTITION BY symbol, threshold, feature, ret) - 1) / 2.0 AS b FROM long),
+rho AS (SELECT symbol, threshold, feature, count(*) AS n, CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS rho FROM ranks GROUP BY ALL HAVING count(*) > 100),
+signs AS (SELECT *, coalesce(abs(rho) > 0.02 AND (abs(rho) >= 1 OR abs(rho) * sqrt((n - 2) / (1 - rho * rho)) > {_LIMIT}), false) AS significant FROM rho),
+tier1 AS ({_TIER1})"""
+
+
+@query("val_tier2", "SELECT s.*, count(*) FILTER (significant) OVER (PARTITION BY symbol, threshold) AS n_significant, passed AND count(*) FILTER (significant) OVER (PARTITION BY symbol, threshold) >= 3 AS passed FROM signs s JOIN tier1 USING (symbol, threshold)", "rho", f"{PLAIN}, {_DIR}, {_TIER2}")
+def _(s, d):
+    return A.second_tier(bars(s, d))
+
+
+_GAPS = "gaps AS (SELECT *, abs(open - lag(close) OVER w) / lag(close) OVER w AS gap FROM bars WINDOW w AS (PARTITION BY symbol, threshold, segment ORDER BY bar_id)), presets AS (SELECT unnest(['standard', 'paranoid', 'narrow']) AS preset, unnest([0.01::DOUBLE, 0.001::DOUBLE, 0.0002::DOUBLE]) AS tolerance, unnest(['warn', 'error', 'error']) AS mode)"
+
+
+@query("val_presets", "SELECT preset, symbol, threshold, count(*) AS n_bars, count(*) FILTER (gap < 1e-5) AS precision, count(*) FILTER (gap >= 1e-5 AND gap < 1e-4) AS noise, count(*) FILTER (gap >= 1e-4 AND gap < 1e-3) AS market_move, count(*) FILTER (gap >= 1e-3 AND gap < threshold / 10000.0 * 2) AS microstructure, count(*) FILTER (gap >= 1e-3 AND gap >= threshold / 10000.0 * 2) AS session_boundary, max(gap) AS max_gap, count(*) FILTER (gap > tolerance AND gap >= 1e-5) AS n_over, count(*) FILTER (gap >= 1e-3 AND gap >= threshold / 10000.0 * 2) = 0 AS is_valid, CASE WHEN count(*) FILTER (gap > tolerance AND gap >= 1e-4) > 0 THEN any_value(mode) ELSE 'ok' END AS verdict FROM gaps, presets GROUP BY preset, symbol, threshold", "max_gap", f"{PLAIN}, {_GAPS}")
 def _(s, d):
-    b = directed(s, d)
-    return A.spearman(b.filter("ret is not null"), "ofi", "ret", ["symbol"]).join(A.mutual_information(b, "ofi", "ret", ["symbol"]), "symbol").join(A.unit_root(bars(s, d)), "symbol")
+    b, out = bars(s, d), None
+    for name, preset in (("standard", "standard"), ("paranoid", "paranoid"), ("narrow", (0.0002, "error"))):
+        one = Q.continuity(b, preset).withColumn("preset", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("val_post", "SELECT symbol, threshold, count(*) AS n, min(open_time) AS first, max(close_time) AS last, sum(round(open * 100)::BIGINT + 3 * round(high * 100)::BIGINT + 5 * round(low * 100)::BIGINT + 7 * round(close * 100)::BIGINT)::BIGINT AS checksum FROM bars GROUP BY ALL", "", PLAIN)
@@ -847,11 +870,15 @@ def _(s, d):
     return sinks.arrow_sizes(bars(s, d).select("symbol", "bar_id", "close"))
 
 
-@query("snk_roundtrip", "SELECT count(*) FILTER (close_time > open_time AND high >= greatest(open, close) AND low <= least(open, close) AND volume > 0 AND individual_trade_count > 0 AND last_trade_id >= first_trade_id) AS good, count(*) AS n FROM bars", "", PLAIN)
+@query("snk_roundtrip", "SELECT symbol, bar_id, close, CASE WHEN bar_id % 7 = 0 THEN 'volume' WHEN bar_id % 7 = 1 THEN 'prices' WHEN close_time <= open_time THEN 'time' WHEN volume <= 0 THEN 'volume' END AS reason FROM bars", "close", PLAIN)
 def _(s, d):
     from ..sources import sinks
 
-    return bars(s, d).agg(F.count_if(sinks.storable()).alias("good"), F.count(F.lit(1)).alias("n"))
+    path, b = shared(s, "frame"), bars(s, d)
+    spoilt = b.withColumn("volume", F.when(F.col("bar_id") % 7 == 0, 0.0).otherwise(F.col("volume"))).withColumn("high", F.when(F.col("bar_id") % 7 == 1, F.col("low") - 1).otherwise(F.col("high")))
+    spoilt.write.parquet(path)
+    good, bad = sinks.from_frame(s.read.parquet(path))
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad).select(*ID, "close", "reason")
 
 
 @query("snk_store", "SELECT symbol, bar_id, close FROM bars", "close", PLAIN)
@@ -869,12 +896,16 @@ def _(s, d):
     return sinks.panel(bars(s, d), ["ofi"]).select("ts", "symbol", "`price.close`", "`feature.ofi`")
 
 
-@query("snk_deadletter", "SELECT count(*) AS stored FROM bars WHERE bar_id % 5 <> 0", "", PLAIN)
+@query("snk_deadletter", "SELECT symbol, bar_id, CASE WHEN bar_id % 5 = 0 THEN 'negative volume' END AS reason FROM bars", "", PLAIN)
 def _(s, d):
     from ..sources import sinks
+    from ..streaming import live
 
-    good, _bad = sinks.split_bad(bars(s, d).withColumn("volume", F.when(F.col("bar_id") % 5 == 0, -1.0).otherwise(F.col("volume"))))
-    return good.agg(F.count(F.lit(1)).alias("stored"))
+    folder = shared(s, "dead")
+    stream = live.streaming_bars(live._as_stream(s, trades(s, d), folder, 2))
+    live.into_store(s, stream.withColumn("volume_fp", F.when(F.col("bar_id") % 5 == 0, -1).otherwise(F.col("volume_fp"))), f"{folder}/store", f"{folder}/state").awaitTermination()
+    dead = s.read.option("basePath", f"{folder}/store-dead").parquet(f"{folder}/store-dead")
+    return sinks.BarStore(s, f"{folder}/store").read().select(*ID, F.lit(None).cast("string").alias("reason")).unionByName(dead.select(*ID, "reason"))
 
 
 # ---------------------------------------------------------------- streams, extensions
@@ -981,6 +1012,17 @@ def _(s, d):
     return s.read.format("trade_pages").option("symbol", "btc").option("toId", 2500).load().groupBy("symbol").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min("agg_trade_id").cast("int").alias("first"), F.max("agg_trade_id").cast("int").alias("last"))
 
 
+@query("src_page_time", "SELECT 'btc' AS symbol, 2500 AS n, 0 AS first, 2499 AS last, 2500 AS ids")
+def _(s, d):
+    from ..sources.paged import PagedTrades
+
+    B.ship(s)
+    s.dataSource.register(PagedTrades)
+    start = 1_704_067_200_000_000
+    pages = s.read.format("trade_pages").options(symbol="btc", by="time", fromTime=start, toTime=start + 2500 // 4 * 1_000_000, pageSize=90).load()
+    return pages.groupBy("symbol").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min("agg_trade_id").cast("int").alias("first"), F.max("agg_trade_id").cast("int").alias("last"), F.count_distinct("agg_trade_id").cast("int").alias("ids"))
+
+
 @query("src_parquet_recover")
 def _(s, d):
     return T.whole_parquet(s, f"{d}/*.parquet").agg(F.count(F.lit(1)).cast("int").alias("files"), F.count_if("ok").cast("int").alias("whole"))

@@ -3,6 +3,9 @@
 `fetch` names a function `module:name` of (symbol, from_id, limit) that returns trades as dicts, ascending by id; it is
 called on executors, again after failures with growing waits. Batch reads split the id range into as many partitions as
 asked; a stream's offset is the next id, so no trade of an edge is lost or doubled.
+
+With the option by=time, `fetch` takes (symbol, from_us, limit) and its pages ascend by time: the next page begins with the time
+that the last one ended with, and what came already is passed over, so that trades of one time may lie across an edge.
 """
 
 from __future__ import annotations
@@ -71,6 +74,13 @@ def generated(symbol: str, from_id: int, limit: int) -> list[dict]:
     return out
 
 
+def generated_by_time(symbol: str, from_us: int, limit: int) -> list[dict]:
+    """The same service asked by time: four trades a second."""
+    first = 1_704_067_200_000_000
+    begin = 4 * max(0, -(-(from_us - first) // 1_000_000))
+    return [{**t, "timestamp": first + t["agg_trade_id"] // 4 * 1_000_000} for t in generated(symbol, begin, limit)]
+
+
 @dataclass
 class Ids(InputPartition):
     first: int
@@ -90,17 +100,35 @@ def _pages(options: dict, first: int, end: int) -> Iterator[tuple]:
         first = page[-1]["agg_trade_id"] + 1
 
 
+def _pages_by_time(options: dict, first: int, end: int) -> Iterator[tuple]:
+    module, name = options.get("fetch", "tapeloom.sources.paged:generated_by_time").split(":")
+    fetch, size = getattr(importlib.import_module(module), name), int(options.get("pageSize", 1000))
+    asked, seen = size, set()
+    while first < end:
+        page = retried(lambda: fetch(options["symbol"], first, asked))
+        for t in page:
+            if t["timestamp"] < end and t["agg_trade_id"] not in seen:
+                yield tuple(t.get(f) for f in FIELDS)
+        if len(page) < asked:
+            return
+        last = page[-1]["timestamp"]
+        seen = {t["agg_trade_id"] for t in page if t["timestamp"] == last} | (seen if last == first else set())
+        asked = asked * 2 if last == first else size  # a page of one time only: more of it may follow
+        first = last
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
     def partitions(self):
-        first, end, n = int(self.options.get("fromId", 0)), int(self.options["toId"]), int(self.options.get("partitions", 4))
+        unit = "Time" if self.options.get("by") == "time" else "Id"
+        first, end, n = int(self.options.get(f"from{unit}", 0)), int(self.options[f"to{unit}"]), int(self.options.get("partitions", 4))
         step = max(1, -(-(end - first) // n))
         return [Ids(a, min(a + step, end)) for a in range(first, end, step)]
 
     def read(self, partition: Ids):
-        return _pages(self.options, partition.first, partition.end)
+        return (_pages_by_time if self.options.get("by") == "time" else _pages)(self.options, partition.first, partition.end)
 
 
 class PagedStream(SimpleDataSourceStreamReader):

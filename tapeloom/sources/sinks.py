@@ -26,6 +26,21 @@ def split_bad(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("_reason is null").drop("_reason"), marked.filter("_reason is not null").withColumnRenamed("_reason", "reason")
 
 
+NEEDED = ("symbol", "threshold", "open_time", "close_time", "open", "high", "low", "close", "volume", "individual_trade_count", "first_trade_id", "last_trade_id")
+
+
+def from_frame(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bars from a frame that was written elsewhere: those that hold together, and the others with the reason."""
+    missing = [c for c in NEEDED if c not in rows.columns]
+    if missing:
+        raise ValueError(f"column {', '.join(missing)} is missing")
+    fault = F.when(F.expr(" or ".join(f"{c} is null" for c in NEEDED)), "null")
+    for bad, reason in (("close_time <= open_time", "time"), ("high < greatest(open, close) or low > least(open, close)", "prices"), ("volume <= 0", "volume"), ("individual_trade_count <= 0", "count"), ("last_trade_id < first_trade_id", "ids")):
+        fault = fault.when(F.expr(bad), reason)
+    marked = rows.withColumn("reason", fault)
+    return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
+
+
 class BarStore:
     """Bars as Parquet by generation, mode, symbol and threshold; a table of deletions, one of tokens and one of generations lie
     beside it.
