@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plugins import emit
 from .bars import BAR, KEYS, aggregated, assigned, calendar_segment, priced, with_vwap
 from .quality import last_n, latest
 
@@ -113,6 +114,7 @@ class Population:
             found = made.agg(F.lit(first).alias("chunk"), F.lit(after).alias("until"), F.count_if("is_complete").alias("n_bars"), F.count_if(~F.col("is_complete")).alias("n_forming"))
             self._write(found, "progress", first)
             at, n = (first, after), n + 1
+            emit("chunk_built", path=self.path, chunk=first, until=after)
             if told is not None:
                 told(chunk=first, until=after)
         return n

@@ -7,7 +7,8 @@ from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from .functions.series import BEFORE, WITHIN
 from .operators.bars import features
@@ -17,7 +18,7 @@ log = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class Provider:
-    """Columns that a function adds to bars."""
+    """Columns that a function adds to bars; they are null in series of fewer than min_bars."""
 
     name: str
     version: str
@@ -34,6 +35,9 @@ def enriched(bars: DataFrame, providers: list[Provider]) -> DataFrame:
             missing = [c for c in p.columns if c not in out.columns]
             if missing:
                 raise ValueError(f"no column {', '.join(missing)}")
+            if p.min_bars > 1:
+                n = F.count(F.lit(1)).over(Window.partitionBy("symbol", "threshold"))
+                out = out.withColumn("_bars", n).withColumns({c: F.when(F.col("_bars") >= p.min_bars, F.col(c)) for c in p.columns}).drop("_bars")
             bars = out
         except Exception:
             log.exception("provider %s", p.name)
@@ -50,6 +54,8 @@ _hooks: dict[str, list[Callable]] = defaultdict(list)
 
 
 def on(event: str, call: Callable) -> None:
+    """Calls back at provider_failed (name), bars_stored (path, version), bars_deleted (path, symbol) and chunk_built (path,
+    chunk, until). A callback that fails is told and changes nothing."""
     _hooks[event].append(call)
 
 

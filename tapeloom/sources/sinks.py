@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.bars import BAR, ship
 from ..operators.quality import latest
+from ..plugins import emit
 
 
 def storable() -> Column:
@@ -90,6 +91,7 @@ class BarStore:
         self._append(good.withColumn("computed_at", F.lit(version).cast("long")), self.generation())
         if token is not None:
             self._note("tokens", "token string", token)
+        emit("bars_stored", path=self.path, version=version)
         return True
 
     def _append(self, rows: DataFrame, generation: int) -> None:
@@ -100,6 +102,7 @@ class BarStore:
     def invalidate(self, symbol: str, version: int, threshold: int | None = None, start_us: int = 0, end_us: int = 1 << 62) -> None:
         """Deletes the bars of a symbol (of one threshold, or all) that open from start_us to end_us, up to that version."""
         self._note("deleted", "symbol string, threshold int, start_us long, end_us long, version long", symbol, threshold, start_us, end_us, version)
+        emit("bars_deleted", path=self.path, symbol=symbol)
 
     def _live(self) -> DataFrame:
         rows, gone = self._rows(), self._beside("deleted", "symbol string, threshold int, start_us long, end_us long, version long").alias("g")

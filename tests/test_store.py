@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import pytest
 from oracle_check import agree
 from pyspark.sql import functions as F
 
+from tapeloom import plugins
 from tapeloom.operators import bars as B
 from tapeloom.plans import catalog
 from tapeloom.sources.sinks import BarStore
@@ -78,6 +81,22 @@ def test_what_could_not_be_written_is_written_again(spark, tmp_path, monkeypatch
     assert store.read().count() == B.range_bars(trades).count()
 
 
+def test_callbacks_hear_of_writes_and_providers_need_their_bars(spark, tmp_path, monkeypatch):
+    heard = []
+    monkeypatch.setattr(plugins, "_hooks", defaultdict(list))
+    plugins.on("bars_stored", lambda **what: heard.append(what["version"]))
+    plugins.on("bars_stored", lambda **what: 1 / 0)
+    plugins.on("bars_deleted", lambda **what: heard.append(what["symbol"]))
+    store = BarStore(spark, f"{tmp_path}/s")
+    bars = frame(spark, *[bar("a", i) for i in range(3)], bar("b", 0))
+    store.write(bars, 4, "x")
+    store.write(bars, 5, "x")
+    store.invalidate("a", 4)
+    assert heard == [4, "a"]
+    twice = plugins.Provider("twice", "1", ["twice"], lambda b: b.withColumn("twice", F.col("close") * 2), min_bars=2)
+    assert sorted((r.symbol, r.twice) for r in plugins.enriched(bars, [twice]).filter("bar_id = 0").collect()) == [("a", 2.0), ("b", None)]
+
+
 @pytest.mark.parametrize("name", ["rb_populate", "rb_precompute", "rb_count_bounded", "so_invalidate", "so_retention", "snk_store", "str_state", "str_backpressure", "str_window_tumbling", "str_window_sliding", "str_window_session", "str_sidecar"])
 def test_agrees_with_sql(spark, name):
     agree(spark, catalog.QUERIES[name], catalog.SQL[name], SF)
