@@ -90,6 +90,24 @@ def _index(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
 
 
+def _shared(batches):
+    """Of rows (key, id) sorted by key, those whose key another row has too. One row is held back from each batch to the next,
+    so that most rows, alone in their bucket, are moved once and never stand in a table of keys."""
+    key, ids, again = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
+        ids = np.concatenate([ids, batch.column(1).to_numpy(zero_copy_only=False)])
+        same = key[1:] == key[:-1]
+        found = np.append(False, same) | np.append(same, False)
+        found[0] |= again
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][found[:-1]]) for x in (key, ids)], ["key", "id"])
+        key, ids, again = key[-1:], ids[-1:], found[-1]
+    if again:
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids)], ["key", "id"])
+
+
 def _bags(shingle: int):
     def run(batches):
         for batch in batches:
@@ -200,15 +218,13 @@ def _judged(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_
     some = signed.filter("n_shingles > 0")
     sets = some.groupBy("id").agg(F.first(F.struct("n_shingles", "signature")).alias("s")).select("id", F.col("s.n_shingles").alias("n"), "s.signature")
     keys = sets.select("id", "signature").mapInArrow(_index, "key long, id long")
-    keys = saved(keys)
     # Members of buckets of two and more; from here on only those count. Of a bucket, the member that meets most others in all
     # its buckets stands for it: the original that copies were made from is nearer to each than they are to each other.
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2")
-    met = saved(keys.join(shared, "key"))
-    weight = met.groupBy("id").agg(F.sum(F.col("_n") - 1).alias("weight"))
-    weighed = met.drop("_n").join(weight, "id")
-    heads = weighed.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("_h")).select("key", F.col("_h.id").alias("rep"), F.col("_h.weight").alias("rep_weight"))
-    members = saved(met.drop("_n").join(heads, "key"))
+    met = saved(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, id long"))
+    shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+    weight = met.join(shared, "key").groupBy("id").agg(F.sum(F.col("_n") - 1).alias("weight"))
+    heads = met.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("_h")).select("key", F.col("_h.id").alias("rep"), F.col("_h.weight").alias("rep_weight"))
+    members = saved(met.join(heads, "key"))
     nodes = members.select("id").distinct()
     one = some.groupBy("id").agg(F.min(F.struct("f", "doc_id")).alias("s")).join(nodes, "id").select("id", F.col("s.f").alias("_f"), F.col("s.doc_id").alias("_d"))
     # The set of each node, from the text of one of its documents.

@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import random
+import re
 import sys
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +113,28 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     got = sorted(((-1 if r.doc_id is None else r.doc_id), r.n_shingles, (-1 if r.component_id is None else r.component_id), r.kept) for r in neardup.near_duplicates(docs).collect())
     assert got == [(-1, 0, -1, True), (-1, 1, -1, True), (-1, 46, 5, False), (-1, 47, 5, False), (3, 0, 3, True), (5, 46, 5, True), (5, 46, 5, True), (9, 0, 9, True)]
     assert neardup.near_duplicates(docs.withColumn("text", F.lit(None).cast("string"))).filter("n_shingles <> 0").count() == 0
+
+
+def test_bucket_members_of_sorted_rows_whatever_the_batches():
+    rng = random.Random(9)
+    for n in (0, 1, 2, 3, 40, 200):
+        keys = sorted(rng.choice([rng.randrange(5), rng.randrange(-(1 << 62), 1 << 62)]) for _ in range(n))
+        rows = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(range(n), pa.int64())], ["key", "id"])
+        many = Counter(keys)
+        for size in (1, 2, 3, 7, 1000):
+            got = [tuple(r.values()) for b in neardup._shared(rows.slice(at, size) for at in range(0, n + 1, size)) for r in b.to_pylist()]
+            assert got == [(k, i) for i, k in enumerate(keys) if many[k] > 1]
+
+
+def test_bucket_rows_are_moved_once_and_meet_no_table_of_keys(spark, monkeypatch):
+    plans, saved = [], neardup.saved
+
+    def kept(df):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return saved(df)
+
+    monkeypatch.setattr(neardup, "saved", kept)
+    neardup.near_duplicates(table(spark, corpus())).count()
+    met = [plan for columns, plan in plans if columns[:2] == ["key", "id"]][0]
+    assert met.count("_index(") == met.count("_shared(") == 1 and met.count("hashpartitioning(key") == 1
+    assert not re.search(r"Join|keys?=\[key", met)
